@@ -122,3 +122,12 @@ def per_text(values: np.ndarray | None, of: np.ndarray, n: int) -> np.ndarray:
 def as_long(x: np.ndarray) -> np.ndarray:
     """Unsigned hashes as the signed longs that Spark stores."""
     return x.view(np.int64)
+
+
+def chunked(buf: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of values lo to hi - 1, and their offsets from 0."""
+    return buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+
+
+def strings(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.binary()).cast(pa.string(), safe=False)
