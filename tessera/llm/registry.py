@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
+    "op2_line_rules": "op02_line_rules",
+    "op6_toxicity": "op06_toxicity",
     "op8_sentencepiece": "op08_sentencepiece",
+    "op9_language_id": "op09_language_id",
 }
 
 
