@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
     "op2_line_rules": "op02_line_rules",
+    "op5_revisits": "op05_revisits",
     "op6_toxicity": "op06_toxicity",
+    "op7_decontamination": "op07_decontamination",
     "op8_sentencepiece": "op08_sentencepiece",
     "op9_language_id": "op09_language_id",
 }
