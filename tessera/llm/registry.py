@@ -14,6 +14,7 @@ _QUERIES = {
     "op7_decontamination": "op07_decontamination",
     "op8_sentencepiece": "op08_sentencepiece",
     "op9_language_id": "op09_language_id",
+    "op10_licenses": "op10_licenses",
 }
 
 
