@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
+    "op1_hmm": "op01_hmm",
     "op2_line_rules": "op02_line_rules",
     "op5_revisits": "op05_revisits",
     "op6_toxicity": "op06_toxicity",
