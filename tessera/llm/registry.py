@@ -11,6 +11,7 @@ _QUERIES = {
     "op1_hmm": "op01_hmm",
     "op2_line_rules": "op02_line_rules",
     "op3_near_duplicates": "op03_near_duplicates",
+    "op4_suffix_dedup": "op04_suffix_dedup",
     "op5_revisits": "op05_revisits",
     "op6_toxicity": "op06_toxicity",
     "op7_decontamination": "op07_decontamination",
