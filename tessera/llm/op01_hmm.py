@@ -39,7 +39,7 @@ MAX_OWN = 1 << 14
 MAX_KNOWN = 1 << 18
 BUCKETS = 1 << 12
 _END = np.int64(-0x5E4D5E4D)
-_PRIOR = 20.0
+_PRIOR = 2000.0  # tokens of the unigram distribution that smooth each state
 
 
 def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,10 +155,10 @@ def _encode(vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             np.cumsum(np.bincount(doc, minlength=n), out=cuts[1:])
             here = count >= 0
             log_count = np.log10(count[here] + 0.1)
-            known_log = np.bincount(doc[here], log_count - v.base_log, n)
+            known_log = np.bincount(doc[here], log_count - v.base_log, n).astype(float)
             in_bucket = here & (symbol >= v.n_own) & (symbol < v.end)
             inner = np.log10(count[in_bucket] + 0.1) - v.bucket_log[symbol[in_bucket] - v.n_own]
-            inner_log = np.bincount(doc[in_bucket], inner, n)
+            inner_log = np.bincount(doc[in_bucket], inner, n).astype(float)
             far = np.flatnonzero(~here)
             order = far[np.lexsort((keys[far], doc[far]))]
             new = np.ones(len(order), bool)

@@ -181,7 +181,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, keep:
                 doc, bucket = present(doc[hit], bucket[hit])
                 feature = table[bucket].astype(np.int64)
                 raw = machine.raw(doc[feature >= 0], feature[feature >= 0], hi - lo)
-                out.append(1 / (1 + np.exp(-np.clip(raw, -700, 700))))
+                out.append(np.where(raw > -700, 1 / (1 + np.exp(-np.clip(raw, -700, 700))), 0.0))
             value = np.concatenate(out)
             columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
             names = [x for x in batch.schema.names if x != "_scored_text"]
