@@ -5,13 +5,13 @@ the same one) is removed.  Suffixes are only told apart through their first LENG
 out and sorts only what the pass before left undecided.
 
 * Only sampled suffixes enter the sort.  Each window of LENGTH bytes has a least hash among its `DIGIT`-byte strings;
-  equal windows have it at the same place, so windows are grouped under these anchors (about one for 35 bytes).
+  equal windows have it at the same place, so windows are grouped under these anchors (about one for 30 bytes).
 * First digit: the DIGIT bytes at the anchor.  Second digit: all bytes of the windows under the anchor.  Anchors equal
   in both but the first in order repeat as a whole and are removed.  An anchor whose first digit occurs once is done.
 * Third digit, for anchors whose first digits agree and whose second digits differ (the ends of repeats): every window
   under them is sorted by itself.  Groups of equal windows are exactly the repeated windows; all but the first go.
 
-Digits are 64-bit hashes of their bytes (two of them have to agree, 128 bits).  Each chunk of texts drops its own
+Digits are 64-bit hashes of their bytes (two of them have to agree: 128 bits, in the last pass 96).  Each chunk of texts drops its own
 repeats before the shuffle, so a passage that a third of all documents hold costs a few rows a chunk.  Texts are only
 shuffled for documents that pass a bitmap of those concerned.
 
@@ -34,7 +34,7 @@ from tessera.llm import sieve
 from tessera.llm.shared import stored
 
 LENGTH = 100
-DIGIT = 32
+DIGIT = 44
 _CHUNK = 1 << 19
 
 
@@ -80,16 +80,19 @@ def _order(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-_DEALT = "deal long, known boolean, first long, second long, doc long, begin int, end int"
+_DEALT = "first long, second long, doc long, begin int, size int"
 
 
 def _deal(first: np.ndarray, second: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Rows for the shuffle; repeats within the chunk are known and dealt by document instead of by digit."""
+    """Rows for the shuffle: digits, document, first window start and number of them.
+
+    Repeats within the chunk are known already: they have a negative size and are dealt by document instead of by digit.
+    """
     order, new = _order(first, second, doc, begin)
     first, second, doc, begin, end = first[order], second[order], doc[order], begin[order], end[order]
-    deal = np.where(new, B.as_long(first), B.as_long(B.mix(doc.view(np.uint64))))
-    columns = [deal, ~new, B.as_long(first), B.as_long(second), doc, begin.astype(np.int32), end.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["deal", "known", "first", "second", "doc", "begin", "end"])
+    size = end - begin + 1
+    columns = [np.where(new, B.as_long(first), B.as_long(B.mix(doc.view(np.uint64)))), np.where(new, B.as_long(second), 0), doc, begin.astype(np.int32), np.where(new, size, -size).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["first", "second", "doc", "begin", "size"])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +114,8 @@ def _sorted_pass(undecided: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None  # first, second, whether their group has several second digits, and a row not yet given
         for batch in batches:
-            known, first, second, doc, begin, end = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7))
+            first, second, doc, begin, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            known, end = size < 0, begin + np.abs(size) - 1
             out = [(doc[known], begin[known], end[known], True)]
             fresh = ~known
             first, second, doc, begin, end = first[fresh], second[fresh], doc[fresh], begin[fresh], end[fresh]
@@ -148,7 +152,7 @@ def _sorted_pass(undecided: bool):  # noqa: ANN202
 
 
 def _dealt(rows: DataFrame, undecided: bool) -> DataFrame:
-    return rows.repartition("deal").sortWithinPartitions("first", "second", "doc", "begin").mapInArrow(_sorted_pass(undecided), _SORTED)
+    return rows.repartition("first").sortWithinPartitions("first", "second", "doc", "begin").mapInArrow(_sorted_pass(undecided), _SORTED)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +169,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
             text = np.repeat(of, count)
             window = B.Roll(part).of(start, start + LENGTH)
-            tail = B.Roll(B.LOWER[part] ^ np.uint8(0x5A)).of(start, start + LENGTH)
+            tail = B.Roll(B.LOWER[part] ^ np.uint8(0x5A)).of(start, start + LENGTH) >> np.uint64(32)
             place = start - cuts[text]
             yield _deal(window, tail, ids[lo:hi][text], place, place)
 
