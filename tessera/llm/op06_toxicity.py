@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as B
+from tessera.llm.shared import least_hashed
 
 LOG2_BUCKETS = 22
 MAX_LABELLED = 12_000
@@ -140,7 +141,6 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32)))], names=["toxic", "buckets"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.join(F.broadcast(known), "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, buckets array<int>").toArrow().combine_chunks()
+    found = rows.join(F.broadcast(least_hashed(known, "doc_id", max_labelled)), "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, buckets array<int>").toArrow().combine_chunks()
     if not found.num_rows:
         return fit(np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64))
     lists = found["buckets"].combine_chunks()

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as B
 from tessera.llm.op06_toxicity import held_out
+from tessera.llm.shared import least_hashed
 
 WINDOW = 96
 HIDDEN = 8
@@ -96,9 +97,8 @@ class Network:
         random = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        weight = (1 / np.maximum(1, np.bincount(y, minlength=len(self.languages))))[y]
         for step in range(1, steps + 1):
-            pick = random.choice(len(x), batch, p=weight / weight.sum())
+            pick = random.choice(len(x), batch)
             part, label = np.ascontiguousarray(x[pick].T), y[pick]
             forward, f_trail = self._forward("f", part)
             backward, b_trail = self._forward("b", part)
@@ -208,12 +208,10 @@ def train(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Network | None:
     span = 2 * TRAIN_LENGTH
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     free = F.greatest(F.length("text") - span, F.lit(0)) + 1
-    sample = (
-        rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-        .select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), free).cast("int") + 1, F.lit(span)).alias("part"))
-        .orderBy("h", "doc_id").limit(max_texts).toArrow()
-    )
-    pairs = [(a, b.encode()) for a, b in zip(sample["lang"].to_pylist(), sample["part"].to_pylist(), strict=True) if any(map(str.isalpha, b))]
+    part = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), free).cast("int") + 1, F.lit(span))
+    known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1)).select("doc_id", "lang", part.alias("part"))
+    sample = least_hashed(known, "doc_id", max_texts).select("lang", "part").toArrow()
+    pairs = [(a, b.encode()) for a, b in zip(sample["lang"].to_pylist(), sample["part"].to_pylist(), strict=True) if any(map(str.isalpha, b or ""))]
     if not pairs:
         return None
     languages = sorted({a for a, _ in pairs})

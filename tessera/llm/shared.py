@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,3 +34,16 @@ def drop(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+
+
+def least_hashed(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """At most `most` rows, those with the least hash of a column (then the least value): a bounded sample that any run repeats.
+
+    Rows are counted first; of many, only those whose hash is below twice the share asked for are ordered, so what tasks
+    send to be merged stays bounded however many tasks there are.
+    """
+    place, whole = F.pmod(F.xxhash64(column), F.lit(1 << 40)), 1 << 40
+    total = rows.count()
+    if total > 4 * most:
+        rows = rows.where(place < int(whole * (2 * most / total)))
+    return rows.orderBy(place, column).limit(most)
