@@ -7,11 +7,20 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import drop, stored
 
+SALTS = 16
+
+
+def _with_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """pairs (u, v) with the m of their u, salted by v: a node with very many neighbours is spread over tasks."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+    return pairs.withColumn("salt", salt).join(least.withColumn("salt", salts), ["u", "salt"]).select("u", "v", "m")
+
 
 def _star(pairs: DataFrame) -> DataFrame:
     """pairs (u, v), v a neighbour of u: every v and u itself pointed at the least of u and its neighbours."""
     least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    moved = pairs.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(pairs, least).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
 
 
@@ -29,7 +38,7 @@ def labels(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(heads.select(F.col("a").alias("node"), F.col("a").alias("label")))
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        large = _with_least(both.where(F.col("v") > F.col("u")), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         after, next_path = stored(_star(large), "edges")
         drop(spark, path)
         now, path = after, next_path

@@ -217,9 +217,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     degree = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     found = labels(linked)
     firsts = nodes.groupBy("node").agg(F.min("first_id").alias("first_id"))
-    placed = found.join(firsts, "node").join(degree, "node")
-    heads = placed.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    of_linked = placed.join(heads, "label").select("node", "class_id", "n_links")
+    placed = found.join(firsts, "node").join(degree, "node").withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int"))
+    heads = placed.groupBy("label").agg(F.min("first_id").alias("class_id")).withColumn("salt", salts)
+    of_linked = placed.join(heads, ["label", "salt"]).select("node", "class_id", "n_links")
     of_copied = groups.where(F.col("n") > 1).join(of_linked, "node", "left_anti").select("node", F.col("first_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     known = of_linked.unionByName(of_copied).withColumn("salt", salts)
     return (
