@@ -53,3 +53,12 @@ def test_aggregating_stream(spark, tmp_path):
     query = out.writeStream.outputMode("complete").format("memory").queryName("newest").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     query.awaitTermination()
     assert {r.key: r.value for r in spark.table("newest").collect()} == {"k0": 9.0, "k1": 7.0, "k2": 8.0}
+
+
+def test_keyed_state_keeps_the_newest_command(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = ingest.stateful(_stream(spark, str(tmp_path / "in")))
+    query = out.writeStream.outputMode("update").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(str(tmp_path / f"out/{i}"))).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.awaitTermination()
+    rows = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out")).groupBy("key").agg(F.max_by("value", "idx").alias("value")).collect()
+    assert {r.key: r.value for r in rows} == {"k0": 9.0, "k1": 7.0, "k2": 8.0}
