@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as B
 from tessera.llm import sieve
-from tessera.llm.shared import stored
+from tessera.llm.shared import carry, stored
 
 LENGTH = 100
 DIGIT = 44
@@ -233,13 +233,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(cuts)), pa.array(n_removed), pa.array(n_spans), kept], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (default: doc_id) of docs, with n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary).
+def remove_repeats(docs: DataFrame, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """Columns `keep` (default: doc_id) of docs, with n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary), named with a prefix.
 
-    docs needs doc_id and text.
+    docs needs doc_id and text.  A kept column that has the name of an added one is replaced by it.
     """
-    keep = keep or ["doc_id"]
-    carried = {f"_c{i}": c for i, c in enumerate(keep)}
+    made = ["n_bytes", "n_removed", "n_spans", "kept"]
+    carried, added = carry(docs, keep or ["doc_id"], [f"{prefix}{x}" for x in made])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[docs[c].alias(a) for a, c in carried.items()])
     if not rows.groupBy("doc").count().where((F.col("count") > 1) | F.col("doc").isNull()).isEmpty():
         ranked = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(F.col("doc").asc_nulls_last(), "h").sortWithinPartitions(F.col("doc").asc_nulls_last(), "h", "text")
@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     whole = _missing(rows.select(*names), table).select(
         *carried, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept")
     )
-    return cut.mapInArrow(_cut, kept).unionByName(whole).select(*[F.col(a).alias(c) for a, c in carried.items()], "n_bytes", "n_removed", "n_spans", "kept")
+    return cut.mapInArrow(_cut, kept).unionByName(whole).select(*[F.col(a).alias(c) for a, c in carried.items()], *[F.col(x).alias(y) for x, y in zip(made, added, strict=True)])
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as B
-from tessera.llm.shared import least_hashed
+from tessera.llm.shared import carry, least_hashed
 
 LOG2_BUCKETS = 22
 MAX_LABELLED = 12_000
@@ -162,9 +162,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return fit(found["toxic"].to_numpy() == 1, np.repeat(np.arange(found.num_rows), counts), lists.flatten().to_numpy().astype(np.int64))
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (default: doc_id) of docs, with score and predicted."""
-    rows = docs.select(*(keep or ["doc_id"]), docs["text"].cast("string").alias("_scored_text"))
+def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """Columns `keep` (default: doc_id) of docs, with score and predicted, named with a prefix.
+
+    A kept column that has the name of an added one is replaced by it.
+    """
+    carried, added = carry(docs, keep or ["doc_id"], [f"{prefix}score", f"{prefix}predicted"])
+    rows = docs.select(*[docs[c].alias(a) for a, c in carried.items()], docs["text"].cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.full(1 << LOG2_BUCKETS, -1, np.int16)
@@ -172,8 +176,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, keep:
         wanted = table >= 0
         wanted |= wanted[_again(np.arange(1 << LOG2_BUCKETS))]
         for batch in batches:
-            at = batch.schema.get_field_index("_scored_text")
-            buf, offsets = B.buffer(batch.column(at))
+            buf, offsets = B.buffer(batch.column(batch.num_columns - 1))
             out = [np.zeros(0)]
             for lo, hi in B.chunks(offsets):
                 doc, bucket = terms(*B.chunked(buf, offsets, lo, hi))
@@ -183,12 +186,11 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, keep:
                 raw = machine.raw(doc[feature >= 0], feature[feature >= 0], hi - lo)
                 out.append(np.where(raw > -700, 1 / (1 + np.exp(-np.clip(raw, -700, 700))), 0.0))
             value = np.concatenate(out)
-            columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            names = [x for x in batch.schema.names if x != "_scored_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[*carried, "_score", "_predicted"])
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_scored_text"]
-    return rows.mapInArrow(run, ", ".join([*kept, "score double", "predicted int"]))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
+    found = rows.mapInArrow(run, ", ".join([*kept, "_score double", "_predicted int"]))
+    return found.select(*[F.col(a).alias(c) for a, c in carried.items()], F.col("_score").alias(added[0]), F.col("_predicted").alias(added[1]))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

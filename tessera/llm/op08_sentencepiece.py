@@ -28,13 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.shared import carry
 
 MARK = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 CACHE = 400_000
 #: Letters of one alphabet: segments also end at its borders if no piece holds such a letter beside a character of another kind.
 _LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u1e00-\u1eff"
-_RESULT = "doc_id long, ids array<int>, n_ids int, decoded_sha256 string, exact boolean"
 
 
 class Transducer:
@@ -210,13 +212,13 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE, keep: list[str] | None
     """Columns `keep` (default: doc_id) of docs, with ids, n_ids, decoded_sha256 (of the decoded text) and exact.
 
     exact: decoding gives the text back.  One narrow pass; the model's pieces (bounded by the model file) are broadcast.
+    A kept column that has the name of an added one is replaced by it.
     """
-    spark = docs.sparkSession
-    machine = spark.sparkContext.broadcast(Transducer.load(model_file))
-    keep = keep or ["doc_id"]
-    rows = docs.select(*keep, docs["text"].alias("_encoded_text"))
+    machine = docs.sparkSession.sparkContext.broadcast(Transducer.load(model_file))
     added = {"ids": "array<int>", "n_ids": "int", "decoded_sha256": "string", "exact": "boolean"}
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_encoded_text"] + [f"{k} {v}" for k, v in added.items()])
+    carried, _ = carry(docs, keep or ["doc_id"], list(added))
+    rows = docs.select(*[docs[c].alias(a) for a, c in carried.items()], docs["text"].cast("string").alias("_text"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"] + [f"{k} {v}" for k, v in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = machine.value
@@ -224,24 +226,20 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE, keep: list[str] | None
             size = max(1, min(512, batch.num_rows))
             for lo in range(0, batch.num_rows, size):
                 part = batch.slice(lo, size)
-                texts = part.column(part.schema.get_field_index("_encoded_text")).to_pylist()
-                all_ids, counts, sums, exact = [], [], [], []
-                for text in texts:
+                all_ids, sums, exact = [], [], []
+                for text in part.column(part.num_columns - 1).to_pylist():
                     ids = fst.encode(text or "")
                     back = fst.decode(ids)
                     all_ids.append(ids)
-                    counts.append(len(ids))
                     sums.append(hashlib.sha256(back.encode()).hexdigest())
                     exact.append(back == (text or ""))
-                offsets = np.zeros(len(texts) + 1, np.int32)
+                counts = [len(x) for x in all_ids]
+                offsets = np.zeros(len(counts) + 1, np.int32)
                 np.cumsum(counts, out=offsets[1:])
-                flat = np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32)
-                columns = [part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "_encoded_text"]
-                names = [x for x in part.schema.names if x != "_encoded_text"]
-                columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(counts, pa.int32()), pa.array(sums, pa.string()), pa.array(exact, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=names + list(added))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(counts, pa.int32()), pa.array(sums, pa.string()), pa.array(exact, pa.bool_())], names=[*carried, *added])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*[F.col(a).alias(c) for a, c in carried.items()], *added)
 
 
 def decode(frame: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:

@@ -47,3 +47,9 @@ def least_hashed(rows: DataFrame, column: str, most: int) -> DataFrame:
     if total > 4 * most:
         rows = rows.where(place < int(whole * (2 * most / total)))
     return rows.orderBy(place, column).limit(most)
+
+
+def carry(docs: DataFrame, keep: list[str], added: list[str]) -> tuple[dict[str, str], list[str]]:
+    """Inner names of the columns to keep (without those that added ones replace), so that no name can clash on the way; and added."""
+    taken = {x.lower() for x in added}
+    return {f"_c{i}": c for i, c in enumerate(keep) if c.lower() not in taken}, added

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from compare import SMALL, connect, same
-from helpers import AWKWARD, DOCS, awkward, docs, prose
+from helpers import AWKWARD, awkward, docs, prose
 from pyspark.sql import functions as F
 
 from tessera.llm import components, op03_near_duplicates, op04_suffix_dedup, op05_revisits, op07_decontamination, op10_licenses, registry, sieve
@@ -266,9 +266,17 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
 def test_pipeline_stands_awkward_rows(spark, tmp_path):
     import corpus_pipeline
 
-    names = [f.split()[0] for f in DOCS.split(", ")][:5]
-    awkward(spark).select(*names).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = awkward(spark).withColumn("ids", F.lit("i")).withColumn("n_removed", F.lit(1.5)).withColumn("doc", F.lit("d")).withColumn("class_id", F.lit(0))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(3, 0, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, prose(3, 20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, frame, str(tmp_path)).dtypes == frame.dtypes, name
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.columns[:5] == names and 0 < out.count() <= len(AWKWARD) + 3
+    assert out.columns == [c for c in frame.columns if c != "ids"] + ["ids", "n_ids", "decoded_sha256", "exact"]
+    assert 0 < out.count() <= len(AWKWARD) + 3
+    empty = frame.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
