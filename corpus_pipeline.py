@@ -10,7 +10,8 @@ All but the last return the columns of documents, with n_chars of the text as it
 4. decontamination: documents that hold a passage of the benchmark go.
 5. sentencepiece: texts become ids; the columns of documents stay beside them.
 
-Rows with a null doc_id are kept by the stages that join on it.
+Rows with a null doc_id are kept by the stages that join on it; rows that repeat a doc_id stay or go together there.
+Extra columns are carried along, whatever their names (the last stage's own columns replace clashing ones).
 """
 
 from __future__ import annotations
@@ -23,12 +24,10 @@ from pyspark.sql import functions as F
 from tessera.llm import op03_near_duplicates, op04_suffix_dedup, op06_toxicity, op07_decontamination, op08_sentencepiece
 from tessera.llm.shared import folder
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = op06_toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op06_toxicity.score(docs, machine, keep=docs.columns).where(F.col("predicted") == 0).select(*docs.columns)
+    return op06_toxicity.score(docs, machine, keep=docs.columns, prefix="_toxic_").where(F.col("_toxic_predicted") == 0).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +36,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = op04_suffix_dedup.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"])
+    rows = op04_suffix_dedup.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"], prefix="_cut_")
     # a cut may split a character: what is left of it is not valid UTF-8, becomes U+FFFD when read, and is dropped
-    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    whole = F.col("_cut_kept").cast("string")
+    text = F.when(F.col("_cut_n_removed") == 0, whole).otherwise(F.regexp_replace(F.make_valid_utf8(whole), "\ufffd", ""))
+    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
