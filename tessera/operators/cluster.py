@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.model import MIGRATION_STEPS
+from tessera.operators.table import bounded
 
 _TRP = ["table", "replica", "partition"]
 
@@ -23,7 +24,7 @@ def place(catalog: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     slot = F.pmod(F.col("replica") * F.col("partitions") + F.col("partition"), F.col("n_nodes")).cast("int")
     return (
-        exploded.crossJoin(F.broadcast(total)).withColumn("slot", slot).join(F.broadcast(ranked.select("slot", "node")), "slot")
+        exploded.crossJoin(F.broadcast(total)).withColumn("slot", slot).join(bounded(ranked.select("slot", "node")), "slot")
         .select(*_TRP, "node", (F.col("replica") == 0).alias("is_leader"), F.lit(0).cast("long").alias("term"))
     )
 
