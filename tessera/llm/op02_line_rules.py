@@ -136,7 +136,6 @@ def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_
     docs needs doc_id, source and text.  Two passes over the texts; only lines that pass a bitmap of the lines with
     more than max_docs rows (every line above the limit, and few others) are kept beside the statistics.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\0null"))).alias("host"), F.col("text").cast("string").alias("text"))
     often = rows.mapInArrow(_count, "line long, n long").groupBy("line").agg(F.sum("n").alias("n")).where(F.col("n") > max_docs).select("line")
     table = sieve.build(often, "line")

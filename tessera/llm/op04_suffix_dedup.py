@@ -174,22 +174,13 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _deal(window, tail, ids[lo:hi][text], place, place)
 
 
-def _passing(docs: DataFrame, table) -> DataFrame:  # noqa: ANN001
-    """Rows of docs (doc, text, ...) with `touched`: whether the document passes the bitmap."""
+def _passing(docs: DataFrame, table, wanted: bool = True) -> DataFrame:  # noqa: ANN001
+    """Rows of docs (with a column doc) whose document passes the bitmap, or (wanted false) does not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = B.as_long(B.mix(batch.column(batch.schema.get_field_index("doc")).to_numpy().view(np.uint64)))
-            yield batch.filter(pa.array(sieve.passes(table.value, keys)))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _missing(docs: DataFrame, table) -> DataFrame:  # noqa: ANN001
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = B.as_long(B.mix(batch.column(batch.schema.get_field_index("doc")).to_numpy().view(np.uint64)))
-            yield batch.filter(pa.array(~sieve.passes(table.value, keys)))
+            yield batch.filter(pa.array(sieve.passes(table.value, keys) == wanted))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -256,7 +247,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, prefix: str =
     names = ["doc", "text", *carried]
     cut = _passing(rows.select(*names), table).join(_gathered(removed), "doc", "left").select("text", "spans", *carried)
     kept = ", ".join([*[f"{a} {rows.schema[a].dataType.simpleString()}" for a in carried], "n_bytes long, n_removed long, n_spans long, kept binary"])
-    whole = _missing(rows.select(*names), table).select(
+    whole = _passing(rows.select(*names), table, wanted=False).select(
         *carried, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept")
     )
     return cut.mapInArrow(_cut, kept).unionByName(whole).select(*[F.col(a).alias(c) for a, c in carried.items()], *[F.col(x).alias(y) for x, y in zip(made, added, strict=True)])

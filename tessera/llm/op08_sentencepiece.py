@@ -15,7 +15,7 @@ repeat, so their paths are kept in a bounded cache.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; the word mark itself in a text is read
 as a space (as in the public library), so only such texts do not come back exactly; strings that look like control
-pieces are ordinary text; extra columns are ignored; rows are independent, so repeated rows repeat.
+pieces are ordinary text; bytes that are not valid UTF-8 are read as U+FFFD; extra columns are ignored; rows are independent, so repeated rows repeat.
 """
 
 from __future__ import annotations
@@ -217,7 +217,7 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE, keep: list[str] | None
     machine = docs.sparkSession.sparkContext.broadcast(Transducer.load(model_file))
     added = {"ids": "array<int>", "n_ids": "int", "decoded_sha256": "string", "exact": "boolean"}
     carried, _ = carry(docs, keep or ["doc_id"], list(added))
-    rows = docs.select(*[docs[c].alias(a) for a, c in carried.items()], docs["text"].cast("string").alias("_text"))
+    rows = docs.select(*[docs[c].alias(a) for a, c in carried.items()], F.make_valid_utf8(docs["text"].cast("string")).alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"] + [f"{k} {v}" for k, v in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

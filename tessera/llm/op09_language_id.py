@@ -206,7 +206,7 @@ class Network:
 def train(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Network | None:
     """Fit on one window of at most max_texts documents with a language whose crc32 modulo 3 is not 1."""
     span = 2 * TRAIN_LENGTH
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.make_valid_utf8(F.col("text").cast("string")).alias("text"))
     free = F.greatest(F.length("text") - span, F.lit(0)) + 1
     part = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), free).cast("int") + 1, F.lit(span))
     known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1)).select("doc_id", "lang", part.alias("part"))

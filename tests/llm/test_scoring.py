@@ -257,3 +257,15 @@ def test_language_edges(spark):
     assert op09_language_id.train(docs(spark, [])) is None and op09_language_id.label(docs(spark, []), network).count() == 0
 
 
+
+
+# -- all: bytes that are not valid UTF-8
+
+
+def test_invalid_bytes_are_stood(spark):
+    frame = spark.sql("SELECT CAST(id AS LONG) AS doc_id, CAST(X'61FF6220C3' AS STRING) AS text, 'en' AS lang, 's' AS source FROM range(12)")
+    assert op01_hmm.score(frame).count() == 12
+    assert {r.word_chars for r in op02_line_rules.line_rules(frame).collect()} == {4}
+    assert op06_toxicity.score(frame, op06_toxicity.train(frame, frame.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic"))).count() == 12
+    assert {r.n_ids > 0 for r in op08_sentencepiece.encode(frame).collect()} == {True}
+    assert op09_language_id.label(frame, op09_language_id.train(frame)).count() == 12
