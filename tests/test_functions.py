@@ -57,3 +57,15 @@ def test_strategies(spark):
     assert route(r"regex:(user_\d+)", "x user_12") == "user_12"
     both = routing.composite(routing.brace(), routing.colon())
     assert one(spark, both(F.lit("t"), F.lit("{}:"), F.lit("f"), F.lit("c"))) == "{}:"
+
+
+def test_bloom_filter_never_misses_a_key(spark):
+    from tessera.functions.bloom import KeyFilter
+
+    found = KeyFilter(spark.range(10_000).select(F.col("id").cast("string").alias("k")), "k", 20_000, 0.01)
+    assert all(found.might_contain(str(i)) for i in range(10_000))
+    assert sum(found.might_contain(f"other{i}") for i in range(2_000)) < 100
+    assert not found.might_contain("key1")
+    found.add("key1")
+    other = KeyFilter(spark.createDataFrame([("业务",), (None,)], "k string"), "k", 20_000, 0.01)
+    assert found.might_contain("key1") and found.merge(other).might_contain("业务")
