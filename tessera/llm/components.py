@@ -14,7 +14,7 @@ def _with_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
     """pairs (u, v) with the m of their u, salted by v: a node with very many neighbours is spread over tasks."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
-    return pairs.withColumn("salt", salt).join(least.withColumn("salt", salts), ["u", "salt"]).select("u", "v", "m")
+    return pairs.withColumn("salt", salt).join(least.withColumn("salt", salts).hint("merge"), ["u", "salt"]).select("u", "v", "m")
 
 
 def _star(pairs: DataFrame) -> DataFrame:

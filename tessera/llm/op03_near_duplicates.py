@@ -36,7 +36,7 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 SLOTS = BANDS * ROWS
-SALTS = 16
+SALTS = 16  # sides repeated for each salt are merge-joined: their size before that says little
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     groups = sketches.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    copies = groups.where(F.col("n") > 1).select("node", "first_id", F.lit(True).alias("copied")).withColumn("salt", salts)
+    copies = groups.where(F.col("n") > 1).select("node", "first_id", F.lit(True).alias("copied")).withColumn("salt", salts).hint("merge")
     held = sketches.withColumn("salt", salt).join(copies, ["node", "salt"], "left")
     own = held.where(F.col("node").isNotNull() & (F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))))
     nodes, _ = stored(own.select("doc_id", "node", "bands").mapInArrow(_marked, "node long, first_id long, marker long, bands array<long>"), "near-nodes")
@@ -218,10 +218,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     found = labels(linked)
     firsts = nodes.groupBy("node").agg(F.min("first_id").alias("first_id"))
     placed = found.join(firsts, "node").join(degree, "node").withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int"))
-    heads = placed.groupBy("label").agg(F.min("first_id").alias("class_id")).withColumn("salt", salts)
+    heads = placed.groupBy("label").agg(F.min("first_id").alias("class_id")).withColumn("salt", salts).hint("merge")
     of_linked = placed.join(heads, ["label", "salt"]).select("node", "class_id", "n_links")
     of_copied = groups.where(F.col("n") > 1).join(of_linked, "node", "left_anti").select("node", F.col("first_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    known = of_linked.unionByName(of_copied).withColumn("salt", salts)
+    known = of_linked.unionByName(of_copied).withColumn("salt", salts).hint("merge")
     return (
         sketches.select("doc_id", "node").withColumn("salt", salt).join(known, ["node", "salt"], "left")
         .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
