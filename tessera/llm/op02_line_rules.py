@@ -158,7 +158,7 @@ def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     lost = (
         held.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
-        .join(removed.withColumn("salt", salt), ["line", "salt"], "left_semi")
+        .join(removed.withColumn("salt", salt).hint("merge"), ["line", "salt"], "left_semi")
         .groupBy("row").agg(F.sum("w").cast("long").alias("n_lost_words"))
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
