@@ -29,7 +29,7 @@ from tessera.llm import bytesx as B
 from tessera.llm.shared import carry, least_hashed
 
 LOG2_BUCKETS = 22
-MAX_LABELLED = 12_000
+MAX_LABELLED = 8_000
 MAX_FEATURES = 512
 LEAST_RATIO = 15.1  # likelihood-ratio statistic of a feature: about 1 in 10,000 by chance
 FACTORS = 4
@@ -113,10 +113,11 @@ def fit(toxic: np.ndarray, doc: np.ndarray, bucket: np.ndarray, steps: int = 400
     buckets = screen(toxic, doc, bucket)
     if not len(buckets):
         return none
-    feature = np.searchsorted(buckets, bucket)
-    known = (feature < len(buckets)) & (buckets[np.minimum(feature, len(buckets) - 1)] == bucket)
+    table = np.full(1 << LOG2_BUCKETS, -1, np.int16)
+    table[buckets] = np.arange(len(buckets))
+    known = np.flatnonzero(table[bucket] >= 0)
     x = np.zeros((len(toxic), len(buckets)), np.float32)
-    x[doc[known], feature[known]] = 1
+    x[doc[known], table[bucket[known]]] = 1
     y = toxic.astype(np.float32)
     random = np.random.default_rng(seed)
     values = [np.array([none.bias], np.float32), np.zeros(len(buckets), np.float32), random.normal(0, 0.05, (len(buckets), FACTORS)).astype(np.float32)]
@@ -159,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     lists = found["buckets"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     counts = np.diff(lists.offsets.to_numpy())
-    return fit(found["toxic"].to_numpy() == 1, np.repeat(np.arange(found.num_rows), counts), lists.flatten().to_numpy().astype(np.int64))
+    return fit(found["toxic"].to_numpy() == 1, np.repeat(np.arange(found.num_rows, dtype=np.int32), counts), lists.flatten().to_numpy())
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
