@@ -7,8 +7,9 @@ template by cosine.  The best statement of a file gives its licence.  A file of
 the licence of the nearest ancestor directory that has one.
 
 DataFrame operations only.  The templates are fixed text, so their words (about 150) and vectors are a bounded
-broadcast.  Document frequencies aggregate before their shuffle.  Directories are resolved once each, then joined to
-files by directory with a salt, so a directory that holds a third of all files is spread over tasks.
+broadcast.  Document frequencies aggregate before their shuffle.  The weights and the statements, which later steps read
+several times, are cut off as shared tables.  Directories are resolved once each, then joined to files by directory with
+a salt, so a directory that holds a third of all files is spread over tasks.
 
 Defined cases: null and empty texts have no statements; a null path has no directory and inherits nothing; equal
 cosines go to the first licence name, equal statements to the first line; of several licence files in one directory the
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import stored
+
 LEAST = 0.6
 FILE_SHARE = 0.25
 SALTS = 16
@@ -80,7 +83,7 @@ def weights(texts: DataFrame, spark: SparkSession) -> DataFrame:
 def statements(files: DataFrame) -> DataFrame:
     """Best licence statement of each file with one: file, license, cosine, is_file.  files: file, path, text."""
     spark = files.sparkSession
-    idf = weights(files, spark)
+    idf, _ = stored(weights(files, spark), "licence-weights")
     model = _templates(spark).join(F.broadcast(idf), "term").withColumn("weight", F.col("template_tf") * F.col("idf"))
     norms = model.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("template_norm"))
     model = model.join(F.broadcast(norms), "template").select("template", "license", "term", "idf", (F.col("weight") / F.col("template_norm")).alias("share"))
@@ -118,7 +121,7 @@ def scan(files: DataFrame) -> DataFrame:
     files: file (unique long), path (directories separated by '/'), text.
     """
     rows = files.select("file", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    own = statements(rows)
+    own, _ = stored(statements(rows), "licence-statements")
     directory = F.regexp_replace(F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))), "^/+", "")
     placed = rows.select("file", "path", directory.alias("directory")).join(own, "file", "left")
     speaking = (
@@ -132,7 +135,7 @@ def scan(files: DataFrame) -> DataFrame:
         .join(speaking, "above")
         .groupBy("directory").agg(F.max(F.struct(F.length("above").alias("depth"), "above", "inherited")).alias("n"))
         .select("directory", F.col("n.above").alias("from_directory"), F.col("n.inherited").alias("inherited"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     )
     has = F.col("license").isNotNull()
     return (
