@@ -8,9 +8,11 @@ little more than one arrival a shingle.  Two places of two texts agree with the
 
 Plan.  Texts of equal words are one node from the start.  Signatures are cut into bands; nodes that share a band meet
 in a bucket.  A bucket is never expanded into pairs: each member is compared with the bucket's least node, and the
-pairs (at most one for each node and band) are verified with whole shingle vectors.  Buckets in which some comparison
-fails are dealt again by joint keys of two bands around another node, so texts whose hub was unlike them still meet.
-Verified links become classes by distributed connected components.
+pairs (at most one for each node and band) are verified with whole shingle vectors.  A bucket is undecided while its
+other members lie in several components of these links.  All pairs of undecided members in different components are
+then decided by an exact prefix filter: shingles are ordered from rare to frequent, and two texts at `least` share one
+among the first of both, so only such pairs are verified.  A template that many texts share comes last in that order
+and proposes nothing.  Verified links become classes by distributed connected components.
 
 Defined cases: texts without words (null, empty) are classes of their own; the class id is the least doc_id of a
 class; rows with a null doc_id take part and are never the class id unless all are null; rows that repeat a doc_id
@@ -36,6 +38,7 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 SLOTS = BANDS * ROWS
+LOG2_COUNTERS = 18
 SALTS = 16  # sides repeated for each salt are merge-joined: their size before that says little
 
 
@@ -145,13 +148,12 @@ def _compare(least: float):  # noqa: ANN202
     return run
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, name: str) -> DataFrame:
-    """pairs (a, b: nodes) with linked, from the whole shingle vectors of both texts.
+def _vectors(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """node, vector (sorted shingle hashes with repeats) of the wanted nodes.
 
-    Only texts that pass a bitmap of the paired nodes' rows send a vector.
+    Only texts that pass a bitmap of the wanted nodes' rows send a vector.
     """
-    paired = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = nodes.join(paired, "node", "left_semi").select("marker")
+    needed = nodes.join(wanted, "node", "left_semi").select("marker")
     table = sieve.build(needed, "marker")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +171,12 @@ def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, n
                 np.cumsum(np.bincount(doc, minlength=hi - lo)[wanted], out=cuts[1:])
                 yield pa.RecordBatch.from_arrays([pa.array(marker[wanted]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(B.as_long(key[order])))], names=["marker", "vector"])
 
-    held = nodes.join(paired, "node", "left_semi").select("node", "marker").distinct()
-    known, _ = stored(held.join(rows.mapInArrow(vectors, "marker long, vector array<long>"), "marker").select("node", "vector"), f"{name}-vectors")
+    held = nodes.join(wanted, "node", "left_semi").select("node", "marker").distinct()
+    return stored(held.join(rows.mapInArrow(vectors, "marker long, vector array<long>"), "marker").select("node", "vector"), f"{name}-vectors")[0]
+
+
+def _verify(pairs: DataFrame, known: DataFrame, least: float, name: str) -> DataFrame:
+    """pairs (a, b: nodes) with linked, from the whole shingle vectors of both texts."""
     joined = (
         pairs.join(known.withColumnsRenamed({"node": "a", "vector": "va"}), "a")
         .join(known.withColumnsRenamed({"node": "b", "vector": "vb"}), "b").select("a", "b", "va", "vb")
@@ -178,6 +184,61 @@ def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, n
     return stored(joined.mapInArrow(_compare(least), "a long, b long, linked boolean").distinct(), f"{name}-links")[0]
 
 
+def prefix(vector: np.ndarray, counters: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first keys of a bag in the order of counters (then of keys), and which of them are in its short prefix.
+
+    With P and Q the shares of two bags outside each other, the similarity is at most
+    2 / ((1 + P) / (1 - P) + (1 + Q) / (1 - Q)).  At `least`, both shares are then at most 1 - least and one of them at
+    most (1 - least) / (1 + least).  Prefixes hold a little more than these shares, so the long prefix of one bag meets
+    the short one of the other: else the one whose prefix ends first would lie outside the other by more than its bound.
+    """
+    keys, n = np.unique(vector, return_counts=True)
+    order = np.lexsort((keys, counters[keys & (len(counters) - 1)]))
+    before = np.cumsum(n[order]) - n[order]
+    long, short = (before <= (share + 1e-6) * len(vector) for share in (1 - least, (1 - least) / (1 + least)))
+    return keys[order][long], short[long]
+
+
+def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << LOG2_COUNTERS, np.int64)
+    for batch in batches:
+        keys = batch.column(0).flatten().to_numpy()
+        total += np.bincount(keys & (len(total) - 1), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+
+def _proposed(known: DataFrame, placed: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of known nodes in different components (placed: node, label) that share a key of their prefixes: all that can be alike.
+
+    Any one order of the keys gives every such pair; counters of fixed size put frequent keys last.
+    """
+    counted = known.select("vector").mapInArrow(_count_keys, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counters = np.zeros(1 << LOG2_COUNTERS, np.int64)
+    counters[counted["at"].to_numpy()] = counted["n"].to_numpy()
+    table = known.sparkSession.sparkContext.broadcast(counters)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+            found = [prefix(values[offsets[i] : offsets[i + 1]], table.value, least) for i in range(batch.num_rows)]
+            if found:
+                node = np.repeat(batch.column(0).to_numpy(), [len(k) for k, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(node), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], names=["node", "key", "short"])
+
+    keyed = known.mapInArrow(prefixes, "node long, key long, short boolean").join(placed, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    keyed, _ = stored(keyed, "near-prefixes")
+    several = keyed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where(F.col("l") != F.col("m")).select("key")
+    shared, _ = stored(keyed.join(several, "key", "left_semi").distinct(), "near-prefixes")
+    ones = shared.where("short").select("key", "label").distinct()
+    others = shared.select("key", F.col("label").alias("other")).distinct()
+    met = ones.join(others, "key").where(F.col("label") != F.col("other"))
+    reach = shared.where("short").join(met, ["key", "label"]).select("key", "other", F.col("node").alias("x"))
+    both = reach.join(shared.select("key", F.col("label").alias("other"), F.col("node").alias("y")), ["key", "other"])
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id and n_links (verified links of the text to other texts) for every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -196,26 +257,26 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     hubs = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where(F.col("a") != F.col("z")).select("bucket", "a")
     met, _ = stored(banded.join(hubs, "bucket").select("bucket", "a", F.col("node").alias("b")), "near-buckets")
     pairs, _ = stored(met.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "near-pairs")
-    links = _verify(pairs, nodes, rows, least, "near-1")
-
-    # Second deal: members of buckets in which a comparison failed, by joint keys, around their greatest node.
-    failed = links.where(~F.col("linked")).select("a", "b")
-    doubtful = met.join(failed, ["a", "b"], "left_semi").select("bucket").distinct()
-    again = nodes.join(met.join(doubtful, "bucket", "left_semi").select(F.col("b").alias("node")).distinct(), "node", "left_semi")
-    joint = F.transform(
-        F.sequence(F.lit(0), F.lit(2 * BANDS - 1)),
-        lambda i: F.xxhash64(i, F.get("bands", (i % BANDS).cast("int")), F.get("bands", ((i % BANDS + 1 + F.floor(i / BANDS)) % BANDS).cast("int"))),
+    paired = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    links = _verify(pairs, _vectors(paired, nodes, rows, "near-1"), least, "near-1")
+    found = labels(links.where("linked").select("a", "b"))
+
+    # A bucket whose members but its hub are in one component is decided; the members of the others are all compared.
+    inside = met.where(F.col("a") != F.col("b")).select("bucket", F.col("b").alias("node"))
+    doubtful = (
+        inside.join(found, "node", "left").groupBy("bucket").agg(F.min(F.coalesce("label", "node")).alias("l"), F.max(F.coalesce("label", "node")).alias("m"))
+        .where(F.col("l") != F.col("m")).select("bucket")
     )
-    dealt = again.select("node", F.explode(joint).alias("bucket"))
-    others = dealt.groupBy("bucket").agg(F.min("node").alias("z"), F.max("node").alias("a")).where(F.col("a") != F.col("z")).select("bucket", "a")
-    fresh = dealt.join(others, "bucket").where(F.col("a") != F.col("node")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    more, _ = stored(fresh.join(links.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_verify(more, nodes, rows, least, "near-2"))
+    open_nodes, _ = stored(inside.join(doubtful, "bucket", "left_semi").select("node").distinct(), "near-open")
+    if not open_nodes.isEmpty():
+        known = _vectors(open_nodes, nodes, rows, "near-2")
+        more, _ = stored(_proposed(known, found, least).join(links.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
+        fresh = _verify(more, known, least, "near-2")
+        links = links.unionByName(fresh)
+        found = labels(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(fresh.where("linked").select("a", "b")))
 
     linked = links.where("linked").select("a", "b")
     degree = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    found = labels(linked)
     firsts = nodes.groupBy("node").agg(F.min("first_id").alias("first_id"))
     placed = found.join(firsts, "node").join(degree, "node").withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int"))
     heads = placed.groupBy("label").agg(F.min("first_id").alias("class_id")).withColumn("salt", salts).hint("merge")

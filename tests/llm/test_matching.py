@@ -52,6 +52,34 @@ def test_classes_equal_brute_force(spark):
     assert found == {i: root(i) for i in range(len(texts))}
 
 
+def test_a_family_that_shares_a_template(spark):
+    template, texts = prose(900, 130), []
+    for i in range(600):
+        both = prose(3000 + i, 7, 4000)  # three shingles more than the others share: 129 of 161, not 126 of 164
+        texts += [" ".join([template, prose(4000 + 2 * i + k, 12, 4000), both]) for k in (0, 1)]
+    vectors = [np.sort(np.array([hash(k) for k in bag(t).elements()], np.int64)) for t in texts]
+    like = lambda a, b: op03_near_duplicates.similarity(vectors[a], vectors[b])
+    assert all(like(k, k + 1) >= 0.8 for k in range(0, 1200, 2)) and all(0.7 < like(k, m) < 0.8 for k in range(0, 1200, 7) for m in range(0, 1200, 11) if k // 2 != m // 2)
+    found = {r.doc_id: r.class_id for r in op03_near_duplicates.classes(docs(spark, texts)).collect()}
+    assert found == {k: k // 2 * 2 for k in range(1200)}
+
+
+def test_prefixes_of_alike_bags_meet():
+    pick, met = random.Random(1), 0
+    counters = np.array([pick.randrange(3) for _ in range(64)])
+    for _ in range(3000):
+        x = Counter(pick.choices(range(200), k=pick.randint(3, 25)))
+        y = x.copy()
+        for _ in range(pick.randint(0, 3)):
+            y[pick.choice([*y, pick.randrange(200)])] += 1
+        a, b = (np.array(sorted(c.elements()), np.int64) for c in (x, y))
+        if op03_near_duplicates.similarity(a, b) >= 0.8:
+            met += 1
+            (ka, sa), (kb, sb) = (op03_near_duplicates.prefix(v, counters, 0.8) for v in (a, b))
+            assert set(ka) & set(kb[sb]) or set(ka[sa]) & set(kb)
+    assert met > 500
+
+
 def test_similarity_is_the_probability_jaccard():
     pick = random.Random(0)
     for _ in range(30):
