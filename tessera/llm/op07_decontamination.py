@@ -4,24 +4,29 @@ Texts and benchmark items are split into lower-case runs of letters and digits.
 consecutive tokens that ignores some of them; the hash of the others is joined between the benchmark and every position
 of every text.  A hit fixes a diagonal (text position minus item position), on which the tokens around it are compared
 one by one, so substituted words do not hide a leak: a diagonal counts if some `window` consecutive positions (or the
-whole of a shorter item) hold at least `share` equal tokens.
+whole of a shorter item) hold at least `share` equal tokens.  With the default window and share the masks of `COVER`
+have a hit in every such window, whichever tokens are substituted.  Items shorter than the window are seeded by runs of
+tokens so short that one of them must be free of substitutions.
 
 Plan: positions, hashes and the join are one narrow, generated stage over the documents while the seeds number at most
 `max_seeds` (counted first) and can be broadcast; only verified candidates, one row for each text and diagonal, are
 shuffled.  A larger benchmark goes through a shuffled join on the hash, and the hits are joined back to their texts.
 
-Defined cases: null and empty texts and items have no tokens and no leaks; items with fewer tokens than a mask spans
-have no seeds and are never found; rows that repeat a doc_id are searched each and reported once; extra columns are
+Defined cases: null and empty texts and items have no tokens and no leaks; empty tokens at the ends of an item shorter than
+the window are dropped; rows that repeat a doc_id are searched each and reported once; extra columns are
 ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Token offsets that each mask reads.
+#: Token offsets that each mask reads: those of the SQL, and with three more a hit in any 12 tokens of which 9 are equal.
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 5, 8))
+COVER = (*MASKS, (0, 1, 2, 4, 5), (0, 1, 5, 7, 8), (0, 1, 3, 4, 5))
 WINDOW = 12
 SHARE = 0.75
 MAX_SEEDS = 1_000_000
@@ -32,12 +37,18 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _BREAK)
 
 
-def _seeds(frame: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """Rows of frame (with an array t) for every position and mask that fits: adds pos and seed."""
+def run_length(n: int, share: float) -> int:
+    """The longest run that any n tokens, at least `share` of them equal, must have at a multiple of its length."""
+    return n // (n - math.ceil(share * n) + 1)
+
+
+def _seeds(frame: DataFrame, masks: tuple[tuple[int, ...], ...], wanted: list[Column] | None = None) -> DataFrame:
+    """Rows of frame (with an array t) for every position and mask that fits (and is wanted there): adds pos and seed."""
     least = min(m[-1] for m in masks)
     placed = frame.where(F.size("t") > least).withColumn("pos", F.explode(F.sequence(F.lit(0), F.size("t") - F.lit(1 + least))))
     at = lambda k: F.get("t", F.col("pos") + k)
-    keyed = F.array(*[F.when(F.col("pos") + m[-1] < F.size("t"), F.xxhash64(F.lit(i), *[at(k) for k in m])) for i, m in enumerate(masks)])
+    fits = [(F.col("pos") + m[-1] < F.size("t")) & w for m, w in zip(masks, wanted or [F.lit(True)] * len(masks), strict=True)]
+    keyed = F.array(*[F.when(fit, F.xxhash64(F.lit(i), *[at(k) for k in m])) for i, (m, fit) in enumerate(zip(masks, fits, strict=True))])
     return placed.withColumn("seed", F.explode(keyed)).where(F.col("seed").isNotNull())
 
 
@@ -62,11 +73,17 @@ def _verified(candidates: DataFrame, items: DataFrame, window: int, share: float
     )
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, share: float = SHARE, max_seeds: int = MAX_SEEDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = COVER, window: int = WINDOW, share: float = SHARE, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """doc_id, item_id, n_equal (equal tokens on the best diagonal) and n_item (tokens of the item) of every leak found."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("t"))
+    split = tokens(F.col("text"))
+    items = benchmark.select("item_id", F.when(F.size(split) < window, F.filter(split, lambda x: x != "")).otherwise(split).alias("t"))
     texts = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    seeds = _seeds(items, masks).select("seed", "item_id", F.col("pos").alias("item_pos"), F.size("t").alias("item_size"))
+    # Items shorter than the window, by size (fewer sizes than the window has tokens): one run must be equal as a whole.
+    sizes = [r.n for r in items.select(F.size("t").alias("n")).where((F.col("n") > 0) & (F.col("n") < window)).distinct().collect()]
+    runs = sorted({run_length(n, share) for n in sizes})
+    wanted = [F.lit(True)] * len(masks) + [F.size("t").isin([n for n in sizes if run_length(n, share) == k]) for k in runs]
+    masks = (*masks, *(tuple(range(k)) for k in runs))
+    seeds = _seeds(items, masks, wanted).select("seed", "item_id", F.col("pos").alias("item_pos"), F.size("t").alias("item_size"))
     diagonal = F.col("pos") - F.col("item_pos")
     part = F.slice("t", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("item_size"))
     if seeds.limit(max_seeds + 1).count() <= max_seeds:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -224,6 +225,28 @@ def test_substituted_and_cut_passages_are_found(spark):
         assert {r.doc_id: r.n_equal for r in found}[0] == 40
 
 
+def test_masks_hit_whichever_three_of_twelve_tokens_are_substituted():
+    for miss in combinations(range(12), 3):
+        assert any(all(at + k not in miss for k in m) for m in op07_decontamination.COVER for at in range(12 - m[-1]))
+    for n in range(1, 12):
+        k = op07_decontamination.run_length(n, 0.75)
+        for miss in combinations(range(n), n - -(-3 * n // 4)):
+            assert any(not set(range(at, at + k)) & set(miss) for at in range(n - k + 1))
+
+
+def test_regular_substitutions_and_short_items_are_found(spark):
+    item = prose(5, 200, 4000).split()
+    texts = [" ".join("other" if i % 4 == phase else w for i, w in enumerate(item)) for phase in range(4)]
+    short = {n: [f"s{n}w{k}" for k in range(n)] for n in range(1, 12)}
+    texts += ["before " + " ".join(short[n]) + " after" for n in short]
+    texts += ["before " + " ".join(short[n][: n // 2] + ["other"] + short[n][n // 2 + 1 :]) + " after" for n in short]
+    benchmark = spark.createDataFrame([(0, " ".join(item)), (20, None), (21, ""), (22, "!!!"), *((n, " ".join(w).capitalize() + ".") for n, w in short.items())], "item_id long, text string")
+    for most in (op07_decontamination.MAX_SEEDS, 3):
+        found = op07_decontamination.leaks(docs(spark, texts), benchmark, max_seeds=most).collect()
+        exact, one = {(3 + n, n) for n in short}, {(14 + n, n) for n in short if n >= 4}
+        assert {(r.doc_id, r.item_id) for r in found} == {(k, 0) for k in range(4)} | exact | one
+
+
 def test_leak_edges(spark):
     benchmark = spark.createDataFrame([(1, prose(5, 20), 0)], "item_id long, text string, score int")
     assert op07_decontamination.leaks(awkward(spark), benchmark).count() == 0
