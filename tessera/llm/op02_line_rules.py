@@ -101,6 +101,7 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_dup_lines": B.per_text(raw, line_doc, n),
         "n_repeat_words": B.per_text(covered, doc, n),
         "line_doc": line_doc,
+        "line_start": line_starts,
         "line_hash": line_hash,
         "line_words": n_words,
     }
@@ -130,12 +131,47 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(B.as_long(keys)), pa.array(n)], names=["line", "n"])
 
 
-def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops from each text (with its line feeds) the lines whose keys its row lists as removed."""
+    for batch in batches:
+        buf, offsets = B.buffer(batch.column("text"))
+        host = batch.column("host").to_numpy().view(np.uint64)
+        removed = batch.column("removed")
+        for lo, hi in B.chunks(offsets):
+            part, cuts = B.chunked(buf, offsets, lo, hi)
+            s = statistics(part, cuts)
+            key = B.as_long(B.mix(s["line_hash"] ^ host[lo:hi][s["line_doc"]]))
+            texts = batch.column("text").slice(lo, hi - lo).cast(pa.binary()).to_pylist()
+            first = np.searchsorted(s["line_doc"], np.arange(hi - lo + 1))
+            for i, gone in enumerate(removed.slice(lo, hi - lo)):
+                if not gone.is_valid:
+                    continue
+                of = slice(first[i], first[i + 1])
+                out = set((s["line_start"][of][np.isin(key[of], gone.values.to_numpy())] - cuts[i]).tolist())
+                kept, at = [], 0
+                for line in texts[i].split(b"\n"):
+                    if at not in out:
+                        kept.append(line)
+                    at += len(line) + 1
+                texts[i] = b"\n".join(kept)
+            columns = [B.strings(texts) if name == "text" else batch.column(name).slice(lo, hi - lo) for name in batch.schema.names if name not in ("host", "removed")]
+            yield pa.RecordBatch.from_arrays(columns, names=[name for name in batch.schema.names if name not in ("host", "removed")])
+
+
+def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
+    """The rows of line_rules and the text of each without the lines above the limit; a null text stays null."""
+    ruled = line_rules(docs, max_docs, max_lost, texts=True)
+    schema = ", ".join(f"{name} {kind}" for name, kind in ruled.dtypes if name not in ("host", "removed"))
+    return ruled.mapInArrow(_cut, schema)
+
+
+def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST, texts: bool = False) -> DataFrame:
     """One row for each row of docs: base statistics, base_failed, kept and n_lost_words (words in removed lines).
 
     docs needs doc_id, source and text.  Two passes over the texts; only lines that pass a bitmap of the lines with
-    more than max_docs rows (every line above the limit, and few others) are kept beside the statistics.
+    more than max_docs rows (every line above the limit, and few others) are kept beside the statistics.  With texts, each row also has its host, text and removed lines (null: none).
     """
+    carried = {"host": "long", "text": "string"} if texts else {}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\0null"))).alias("host"), F.col("text").cast("string").alias("text"))
     often = rows.mapInArrow(_count, "line long, n long").groupBy("line").agg(F.sum("n").alias("n")).where(F.col("n") > max_docs).select("line")
     table = sieve.build(often, "line")
@@ -148,9 +184,9 @@ def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_
             np.cumsum(np.bincount(doc[may], minlength=part.num_rows), out=cuts[1:])
             line = pa.StructArray.from_arrays([pa.array(B.as_long(key[may])), pa.array(total[may])], names=["line", "w"])
             columns = [part.column(0)] + [pa.array(s[x]) for x in _STATISTICS] + [pa.ListArray.from_arrays(pa.array(cuts), line)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_STATISTICS, "lines"])
+            yield pa.RecordBatch.from_arrays(columns + [part.column(x) for x in carried], names=["doc_id", *_STATISTICS, "lines", *carried])
 
-    scanned = rows.mapInArrow(scan, "doc_id long, " + ", ".join(f"{x} long" for x in _STATISTICS) + ", lines array<struct<line:long,w:int>>")
+    scanned = rows.mapInArrow(scan, "doc_id long, " + ", ".join(f"{x} long" for x in _STATISTICS) + ", lines array<struct<line:long,w:int>>" + "".join(f", {x} {kind}" for x, kind in carried.items()))
     scanned, _ = stored(scanned.withColumn("row", F.monotonically_increasing_id()), "line-rules")
 
     held = scanned.select("row", "doc_id", F.explode("lines").alias("l")).select("row", "doc_id", "l.line", "l.w")
@@ -159,13 +195,13 @@ def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_
     lost = (
         held.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
         .join(removed.withColumn("salt", salt).hint("merge"), ["line", "salt"], "left_semi")
-        .groupBy("row").agg(F.sum("w").cast("long").alias("n_lost_words"))
+        .groupBy("row").agg(F.sum("w").cast("long").alias("n_lost_words"), *([F.collect_set("line").alias("removed")] if texts else []))
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     n_lost = F.coalesce("n_lost_words", F.lit(0).cast("long"))
     return (
         scanned.drop("lines").join(lost, "row", "left")
-        .select("doc_id", *_STATISTICS, failed.alias("base_failed"), (~failed & (n_lost <= max_lost * F.col("n_words"))).alias("kept"), n_lost.alias("n_lost_words"))
+        .select("doc_id", *_STATISTICS, failed.alias("base_failed"), (~failed & (n_lost <= max_lost * F.col("n_words"))).alias("kept"), n_lost.alias("n_lost_words"), *carried, *(["removed"] if texts else []))
     )
 
 

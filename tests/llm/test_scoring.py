@@ -98,6 +98,17 @@ def test_hmm_edges(spark):
 # -- op2
 
 
+def test_frequent_lines_are_cut_from_texts(spark):
+    texts = [f"{prose(i, 60)}\n\nPage {i % 9} of 99\n{prose(100 + i, 10)} é\n  page  {i % 7} of 12" for i in range(25)] + ["page 1 of 22", "a\nb\n", None, ""]
+    found = {r.doc_id: r for r in op02_line_rules.cleaned(docs(spark, texts).repartition(3), max_docs=20).collect()}
+    assert [found[i].text for i in range(25)] == [f"{prose(i, 60)}\n\n{prose(100 + i, 10)} é" for i in range(25)]
+    assert [found[i].text for i in range(25, 29)] == ["", "a\nb\n", None, ""]
+    assert all(r.n_lost_words == r.n_words - len((r.text or "").split()) for r in found.values())
+    rules = {r.doc_id: r for r in op02_line_rules.line_rules(docs(spark, texts), max_docs=20).collect()}
+    assert {i: tuple(r) for i, r in rules.items()} == {i: tuple(r)[:-1] for i, r in found.items()}
+    assert op02_line_rules.cleaned(awkward(spark)).count() == len(AWKWARD) + 3
+
+
 def test_line_rules_equal_sql(spark):
     same(op02_line_rules.op2_line_rules(spark, SMALL), connect(SMALL), op02_line_rules.ORACLE_SQL)
 
