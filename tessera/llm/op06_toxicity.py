@@ -2,17 +2,19 @@
 
 A text is the set of its terms - runs of ASCII letters and digits and of bytes outside ASCII, ASCII letters lowered,
 and the beginnings of longer ones, which stand for their inflected and compound forms - hashed into 2**22 buckets; a
-term that occurs again has a second bucket.  Buckets whose document frequency differs between the two labels (a likelihood-ratio test)
-are the features; the others carry no weight.  The machine adds a bias, a weight for each feature present and an inner
-product of factors for each pair present, so a pair such as an insult with a mention of a group can weigh more (or
-less) than its parts; it is fitted by full-batch Adam on the logistic loss.
+term that occurs again has a second bucket.  Features are the buckets whose document frequency differs between the two
+labels (a likelihood-ratio test) and the members of pairs of buckets that tell more about the label together than each by
+itself (the same test on the four cells of a pair, less that of its members; over the `max_paired` buckets of most texts).
+A term that says nothing by itself thus enters with its partner.  The machine adds a bias, a weight for each feature present
+and an inner product of factors for each pair present, so a pair such as an insult with a mention of a group can weigh more
+(or less) than its parts; it is fitted by full-batch Adam on the logistic loss.
 
 The fit uses a bounded sample of labelled rows (`max_labelled`, those with the least hash of doc_id); only their hashed
 terms come to the driver.  Scoring is one narrow pass with the features and factors (at most `max_features` of each)
 in the closure.
 
 Defined cases: null and empty texts have no terms and get the bias alone; null labels are not learned from; of rows that
-repeat a doc_id in labels the largest label counts; without labelled rows, or with one label only, the score is the
+repeat a doc_id in labels the largest label counts, of those in docs the text with the least hash; without labelled rows, or with one label only, the score is the
 smoothed share of label 1 (0 without rows); a null doc_id is not held out; extra columns are ignored.
 """
 
@@ -32,6 +34,8 @@ LOG2_BUCKETS = 22
 MAX_LABELLED = 8_000
 MAX_FEATURES = 512
 LEAST_RATIO = 15.1  # likelihood-ratio statistic of a feature: about 1 in 10,000 by chance
+MAX_PAIRED = 2_048
+LEAST_PAIR_RATIO = 40.0  # of a pair beyond its members: about 1 in 1,000 for the most likely of all pairs by chance
 FACTORS = 4
 THRESHOLD = 0.3
 
@@ -85,23 +89,59 @@ class Machine:
         return out
 
 
-def screen(toxic: np.ndarray, doc: np.ndarray, bucket: np.ndarray, most: int = MAX_FEATURES, least: float = LEAST_RATIO) -> np.ndarray:
-    """Buckets whose document frequencies under the two labels differ most, by the likelihood-ratio statistic."""
-    n1 = max(1, int(toxic.sum()))
-    n0 = max(1, len(toxic) - n1)
+def _ratio(with_1: np.ndarray, with_0: np.ndarray, share: float) -> np.ndarray:
+    """What a cell of texts (numbers under label 1 and 0) adds to the likelihood-ratio statistic."""
+    n = with_1 + with_0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.nan_to_num(with_1 * np.log(with_1 / (n * share))) + np.nan_to_num(with_0 * np.log(with_0 / (n * (1 - share)))))
+
+
+def screen(toxic: np.ndarray, doc: np.ndarray, bucket: np.ndarray, most: int = MAX_FEATURES, least: float = LEAST_RATIO, max_paired: int = MAX_PAIRED, least_pair: float = LEAST_PAIR_RATIO) -> np.ndarray:
+    """Buckets that tell the labels apart by themselves or in pairs, by the likelihood-ratio statistic; the best of each first."""
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    share = n1 / (n1 + n0)
     with_1 = np.bincount(bucket[toxic[doc]], minlength=1 << LOG2_BUCKETS)
     with_0 = np.bincount(bucket[~toxic[doc]], minlength=1 << LOG2_BUCKETS)
     at = np.flatnonzero(with_1 + with_0 >= 3)
     a, b = with_1[at].astype(float), with_0[at].astype(float)
-    share = (a + b) / (n1 + n0)
-
-    def part(seen: np.ndarray, total: int, p: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.nan_to_num(seen * np.log(seen / (total * p))) + np.nan_to_num((total - seen) * np.log((total - seen) / (total * (1 - p))))
+    ratio = _ratio(a, b, share) + _ratio(n1 - a, n0 - b, share)
+    order = np.lexsort((at, -ratio))
+    alone = at[order[ratio[order] >= least]]
 
-    ratio = 2 * (part(a, n1, share) + part(b, n0, share))
-    order = np.lexsort((at, -ratio))[:most]
-    return np.sort(at[order[ratio[order] >= least]])
+    # Pairs, by blocks of rows of the table of all of them.
+    often = np.sort(np.lexsort((at, -(a + b)))[:max_paired])
+    often = often[np.minimum(a + b, n1 + n0 - a - b)[often] >= 5]
+    table = np.full(1 << LOG2_BUCKETS, -1, np.int16)
+    table[at[often]] = np.arange(len(often))
+    known = table[bucket] >= 0
+    x = np.zeros((len(toxic), len(often)), np.float32)
+    x[doc[known], table[bucket[known]]] = 1
+    x1, x0 = x[toxic], x[~toxic]
+    del x
+    a, b, single = a[often], b[often], ratio[often]
+    firsts, seconds, gains = [], [], []
+    for lo in range(0, len(often), 256):
+        rows = slice(lo, lo + 256)
+        c1, c0 = (x1[:, rows].T @ x1).astype(float), (x0[:, rows].T @ x0).astype(float)
+        u1, u0 = a[rows][:, None], b[rows][:, None]
+        gain = _ratio(c1, c0, share) + _ratio(u1 - c1, u0 - c0, share) + _ratio(a - c1, b - c0, share) + _ratio(n1 - u1 - a + c1, n0 - u0 - b + c0, share)
+        gain -= single[rows][:, None] + single
+        i, j = np.nonzero((gain >= least_pair) & (np.arange(len(often)) > np.arange(lo, lo + len(c1))[:, None]))
+        firsts.append(i + lo)
+        seconds.append(j)
+        gains.append(gain[i, j])
+    if firsts:
+        i, j, gain = (np.concatenate(z) for z in (firsts, seconds, gains))
+        order = np.lexsort((j, i, -gain))[:most]
+        paired = at[often[np.stack([i[order], j[order]], 1).ravel()]]
+    else:
+        paired = np.zeros(0, np.int64)
+    # Best single buckets and best pairs in turn, until there are `most`.
+    ranked = np.concatenate([alone, paired])
+    turn = np.concatenate([np.arange(len(alone)), np.arange(len(paired)) // 2])
+    ranked = ranked[np.argsort(turn, kind="stable")]
+    _, first = np.unique(ranked, return_index=True)
+    return np.sort(ranked[np.sort(first)[:most]])
 
 
 def fit(toxic: np.ndarray, doc: np.ndarray, bucket: np.ndarray, steps: int = 400, rate: float = 0.05, penalty: float = 1e-4, seed: int = 1) -> Machine:
@@ -154,7 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32)))], names=["toxic", "buckets"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.join(F.broadcast(least_hashed(known, "doc_id", max_labelled)), "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, buckets array<int>").toArrow().combine_chunks()
+    one = rows.join(F.broadcast(least_hashed(known, "doc_id", max_labelled)), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = one.select("text", "toxic").mapInArrow(run, "toxic int, buckets array<int>").toArrow().combine_chunks()
     if not found.num_rows:
         return fit(np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64))
     lists = found["buckets"].combine_chunks()

@@ -1,8 +1,10 @@
 """Operators with one row for each document: language model, line rules, toxicity, language, pieces."""
 
 import math
+import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -154,6 +156,58 @@ def test_toxic_terms_and_pairs_are_learned(spark):
     assert np.mean([found[i] == toxic[i] for i in held]) > 0.97
 
 
+def test_pairs_whose_terms_say_nothing_alone_are_learned(spark):
+    texts, toxic, words = [], [], prose(1, 400).split()
+    for i in range(1200):
+        pick = np.random.default_rng(i)
+        insult, group = i // 3 % 2 == 0, i // 3 % 4 < 2
+        body = list(pick.choice(words, 60)) + ["vermin"] * insult + ["northerners"] * group
+        pick.shuffle(body)
+        texts.append(" ".join(body))
+        toxic.append(int(insult != group))
+    frame = docs(spark, texts)
+    machine = op06_toxicity.train(frame, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    found = {r.doc_id: r.predicted for r in op06_toxicity.score(frame, machine).collect()}
+    held = [i for i in range(1200) if crc(i, 4) == 2]
+    assert np.mean([found[i] == toxic[i] for i in held]) > 0.95
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    """Terms by regular expression, buckets by the written hash, log-odds by loops over pairs."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    machine = op06_toxicity.train(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    codes, multiplier, full = op06_toxicity.B._CODES.tolist(), op06_toxicity.B._MULT, 1 << 64
+    mixed = lambda x: int(op06_toxicity.B.mix(np.array([x % full], np.uint64))[0])
+    hashed = lambda term: mixed(sum(codes[b] * pow(multiplier, i, full) for i, b in enumerate(term)) + len(term))
+    place = {int(b): k for k, b in enumerate(machine.buckets)}
+    mask = (1 << op06_toxicity.LOG2_BUCKETS) - 1
+
+    def expected(text):
+        bag = []
+        for word in re.findall(rb"[0-9a-z\x80-\xff]+", bytes(op06_toxicity.B.LOWER[list((text or "").encode())])):
+            bag.append(hashed(word) & mask)
+            bag += [mixed(hashed(word[:k])) & mask for k in (6, 7, 8) if len(word) > k]
+        has = set(bag) | {mixed(b + (1 << 32)) & mask for b in set(bag) if bag.count(b) > 1}
+        features = [place[b] for b in sorted(has) if b in place]
+        raw = machine.bias + sum(machine.weights[f] for f in features)
+        raw += sum(float(machine.factors[f] @ machine.factors[g]) for f, g in combinations(features, 2))
+        return 1 / (1 + np.exp(-raw))
+
+    found = {r.doc_id: r for r in op06_toxicity.op6_toxicity(spark, SMALL).collect()}
+    assert len(found) == len(rows) and len(machine.buckets) > 0
+    for r in rows[::3]:
+        assert found[r.doc_id].score == pytest.approx(expected(r.text), abs=1e-9)
+        assert found[r.doc_id].predicted == int(found[r.doc_id].score >= 0.3) and found[r.doc_id].held_out == (crc(r.doc_id, 4) == 2)
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    frame = docs(spark, ["vermin here"] * 20 + ["good day"] * 20)
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, toxic int")
+    once = op06_toxicity.train(frame, labels)
+    more = op06_toxicity.train(frame.unionByName(frame).unionByName(frame.where("doc_id < 5")), labels)
+    assert once.bias == more.bias and (once.weights == more.weights).all() and len(once.buckets)
+
+
 def test_pair_term_equals_its_definition():
     random = np.random.default_rng(0)
     w, v = random.normal(size=5), random.normal(size=(5, 4))
