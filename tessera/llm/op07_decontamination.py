@@ -8,13 +8,15 @@ whole of a shorter item) hold at least `share` equal tokens.  With the default w
 have a hit in every such window, whichever tokens are substituted.  Items shorter than the window are seeded by runs of
 tokens so short that one of them must be free of substitutions.
 
-Plan: positions, hashes and the join are one narrow, generated stage over the documents while the seeds number at most
-`max_seeds` (counted first) and can be broadcast; only verified candidates, one row for each text and diagonal, are
-shuffled.  A larger benchmark goes through a shuffled join on the hash, and the hits are joined back to their texts.
-
-Defined cases: null and empty texts and items have no tokens and no leaks; empty tokens at the ends of an item shorter than
-the window are dropped; rows that repeat a doc_id are searched each and reported once; extra columns are
-ignored; empty tables give no rows.
+Plan: one algorithm at every size.  Positions and hashes of the texts are joined with those of the benchmark; the hits,
+distinct by row, item and diagonal, are cut off as a shared table and joined back to the texts of their rows, which only
+then are compared.  Rows and items are known by a hash of id and text, so that null and repeated ids stay apart.  Up to
+`max_seeds` seeds (counted first) are broadcast, which makes the first join one narrow, generated stage; more are
+shuffled, where Spark splits a seed that very many positions have.
+
+Defined cases: null and empty texts and items have no tokens and no leaks; rows that repeat a doc_id (a null one too) are
+searched each and reported once for each item; items that repeat an item_id likewise; a text of any length is searched
+whole; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,17 +26,18 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Token offsets that each mask reads: those of the SQL, and with three more a hit in any 12 tokens of which 9 are equal.
-MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 5, 8))
-COVER = (*MASKS, (0, 1, 2, 4, 5), (0, 1, 5, 7, 8), (0, 1, 3, 4, 5))
+from tessera.llm.shared import stored
+
+#: Token offsets that each mask reads: together they have a hit in any 12 tokens of which 9 are equal.
+COVER = ((0, 1, 3, 6, 7), (0, 2, 3, 5, 8), (0, 1, 2, 4, 5), (0, 1, 5, 7, 8), (0, 1, 3, 4, 5))
 WINDOW = 12
 SHARE = 0.75
 MAX_SEEDS = 1_000_000
-_BREAK = r"[^\p{L}\p{N}]+"
+_TOKEN = r"[\p{L}\p{N}]+"
 
 
 def tokens(text: Column) -> Column:
-    return F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _BREAK)
+    return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(_TOKEN), F.lit(0))
 
 
 def run_length(n: int, share: float) -> int:
@@ -52,12 +55,11 @@ def _seeds(frame: DataFrame, masks: tuple[tuple[int, ...], ...], wanted: list[Co
     return placed.withColumn("seed", F.explode(keyed)).where(F.col("seed").isNotNull())
 
 
-def _verified(candidates: DataFrame, items: DataFrame, window: int, share: float) -> DataFrame:
-    """candidates: doc_id, item_id, diagonal, part (text tokens from max(0, diagonal) on); items: item_id, t."""
-    both = candidates.join(items.select("item_id", F.col("t").alias("item")), "item_id")
+def _verified(candidates: DataFrame, window: int, share: float) -> DataFrame:
+    """candidates: doc_id, item_id, diagonal, item (its tokens) and part (text tokens from max(0, diagonal) on)."""
     begin = F.greatest(-F.col("diagonal"), F.lit(0))
     n = F.least(F.size("part"), F.size("item") - begin)
-    compared = both.select(
+    compared = candidates.select(
         "doc_id", "item_id", F.size("item").alias("n_item"),
         F.zip_with(F.slice("part", F.lit(1), n), F.slice("item", begin + 1, n), lambda a, b: F.when(a == b, 1).otherwise(0)).alias("equal"),
     )
@@ -75,44 +77,38 @@ def _verified(candidates: DataFrame, items: DataFrame, window: int, share: float
 
 def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = COVER, window: int = WINDOW, share: float = SHARE, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """doc_id, item_id, n_equal (equal tokens on the best diagonal) and n_item (tokens of the item) of every leak found."""
-    split = tokens(F.col("text"))
-    items = benchmark.select("item_id", F.when(F.size(split) < window, F.filter(split, lambda x: x != "")).otherwise(split).alias("t"))
-    texts = docs.select("doc_id", tokens(F.col("text")).alias("t"))
+    items = benchmark.select("item_id", F.xxhash64("item_id", "text").alias("of_item"), tokens(F.col("text")).alias("t")).dropDuplicates(["of_item"])
+    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("of_row"), F.col("text"))
     # Items shorter than the window, by size (fewer sizes than the window has tokens): one run must be equal as a whole.
     sizes = [r.n for r in items.select(F.size("t").alias("n")).where((F.col("n") > 0) & (F.col("n") < window)).distinct().collect()]
     runs = sorted({run_length(n, share) for n in sizes})
     wanted = [F.lit(True)] * len(masks) + [F.size("t").isin([n for n in sizes if run_length(n, share) == k]) for k in runs]
     masks = (*masks, *(tuple(range(k)) for k in runs))
-    seeds = _seeds(items, masks, wanted).select("seed", "item_id", F.col("pos").alias("item_pos"), F.size("t").alias("item_size"))
-    diagonal = F.col("pos") - F.col("item_pos")
-    part = F.slice("t", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("item_size"))
+    seeds = _seeds(items, masks, wanted).select("seed", "of_item", F.col("pos").alias("item_pos"))
     if seeds.limit(max_seeds + 1).count() <= max_seeds:
-        hits = _seeds(texts, masks).join(F.broadcast(seeds), "seed").select("doc_id", "item_id", "item_size", "t", diagonal.alias("diagonal"))
-        candidates = hits.select("doc_id", "item_id", "diagonal", part.alias("part")).distinct()
-    else:
-        hits = _seeds(texts, masks).select("doc_id", "pos", "seed").join(seeds, "seed").select("doc_id", "item_id", "item_size", diagonal.alias("diagonal")).distinct()
-        candidates = hits.join(texts, "doc_id").select("doc_id", "item_id", "diagonal", part.alias("part")).distinct()
-    return _verified(candidates, items, window, share)
+        seeds = F.broadcast(seeds)
+    placed = _seeds(texts.select("of_row", tokens(F.col("text")).alias("t")), masks).select("of_row", "pos", "seed")
+    hits, _ = stored(placed.join(seeds, "seed").select("of_row", "of_item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct(), "leak-hits")
+    held = texts.join(hits.select("of_row").distinct(), "of_row", "left_semi").select("doc_id", "of_row", tokens(F.col("text")).alias("t"))
+    part = F.slice("t", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("item"))
+    known = items.select("item_id", "of_item", F.col("t").alias("item"))
+    return _verified(hits.join(known, "of_item").join(held, "of_row").select("doc_id", "item_id", "diagonal", "item", part.alias("part")), window, share)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def _sql_seeds(table: str, key: str, mask: tuple[int, ...]) -> str:
-    cells = ", ".join(f"t[p + {k + 1}]" for k in mask)
-    return f"SELECT {key}, p, [{cells}] AS s, {mask} AS m FROM (SELECT {key}, t, unnest(range(0, len(t) - {mask[-1]})) AS p FROM {table})"
-
-
+#: All diagonals with enough equal tokens, without seeds.
 ORACLE_SQL = f"""
-WITH d AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '{_BREAK}') AS t FROM documents),
-b AS (SELECT item_id, regexp_split_to_array(lower(coalesce(text, '')), '{_BREAK}') AS t FROM benchmark),
-ds AS ({" UNION ALL ".join(_sql_seeds("d", "doc_id", m) for m in MASKS)}),
-bs AS ({" UNION ALL ".join(_sql_seeds("b", "item_id", m) for m in MASKS)}),
-c AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.p - bs.p AS diagonal FROM ds JOIN bs ON ds.s = bs.s AND ds.m = bs.m),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN}') AS t FROM documents),
+b AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN}') AS t FROM benchmark),
+dt AS (SELECT r, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM d),
+bt AS (SELECT k, len(t) AS n_item, unnest(t) AS token, generate_subscripts(t, 1) AS q FROM b),
+c AS (SELECT r, k, p - q AS diagonal FROM dt JOIN bt USING (token) GROUP BY ALL HAVING count(*) >= ceil({SHARE} * least({WINDOW}, max(n_item)))),
 e AS (SELECT doc_id, item_id, len(b.t) AS n_item,
   list_transform(range(greatest(-diagonal, 0), least(len(b.t), len(d.t) - diagonal)), lambda i: CASE WHEN d.t[i + diagonal + 1] = b.t[i + 1] THEN 1 ELSE 0 END) AS equal
-  FROM c JOIN d USING (doc_id) JOIN b USING (item_id)),
+  FROM c JOIN d USING (r) JOIN b USING (k)),
 v AS (SELECT *, least({WINDOW}, n_item) AS width FROM e)
 SELECT doc_id, item_id, CAST(max(list_sum(equal)) AS BIGINT) AS n_equal, CAST(max(n_item) AS BIGINT) AS n_item
 FROM v WHERE len(equal) >= width
