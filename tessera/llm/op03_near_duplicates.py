@@ -10,9 +10,10 @@ Plan.  Texts of equal words are one node from the start.  Signatures are cut int
 in a bucket.  A bucket is never expanded into pairs: each member is compared with the bucket's least node, and the
 pairs (at most one for each node and band) are verified with whole shingle vectors.  A bucket is undecided while its
 other members lie in several components of these links.  All pairs of undecided members in different components are
-then decided by an exact prefix filter: shingles are ordered from rare to frequent, and two texts at `least` share one
-among the first of both, so only such pairs are verified.  A template that many texts share comes last in that order
-and proposes nothing.  Verified links become classes by distributed connected components.
+then decided by exact filters: shingles are ordered by the pairs that they would propose, and two texts at `least` share
+one among the first of both; and the parity sketches of two such texts differ in few bits.  Both are bounds, so no pair at
+`least` is lost, and what passes both is nearly always alike.  Verified links become classes by distributed connected
+components.
 
 Defined cases: texts without words (null, empty) are classes of their own; the class id is the least doc_id of a
 class; rows with a null doc_id take part and are never the class id unless all are null; rows that repeat a doc_id
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as B
@@ -38,7 +39,7 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 SLOTS = BANDS * ROWS
-LOG2_COUNTERS = 18
+PARITY = 16  # longs of a parity sketch
 SALTS = 16  # sides repeated for each salt are merge-joined: their size before that says little
 
 
@@ -118,32 +119,44 @@ def _marker(doc_id: np.ndarray, node: np.ndarray) -> np.ndarray:
     return B.as_long(B.mix(B.mix(doc_id.view(np.uint64)) ^ node.view(np.uint64)))
 
 
-def similarity(x: np.ndarray, y: np.ndarray) -> float:
-    """Probability Jaccard similarity of two bags, each a sorted array of keys with repeats."""
-    if not len(x) or not len(y):
-        return 0.0
-    xk, xn = np.unique(x, return_counts=True)
-    yk, yn = np.unique(y, return_counts=True)
-    keys = np.union1d(xk, yk)
-    a, b = np.zeros(len(keys)), np.zeros(len(keys))
-    a[np.searchsorted(keys, xk)] = xn
-    b[np.searchsorted(keys, yk)] = yn
+def similarities(pair: np.ndarray, key: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Probability Jaccard similarity of n pairs of bags, given the pair, key and side of every key with repeats."""
+    order = np.lexsort((key, pair))
+    pair, key, right = pair[order], key[order], right[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])
+    at = np.cumsum(new) - 1
+    b = np.bincount(at, right, minlength=int(new.sum()))
+    a = np.bincount(at, minlength=len(b)) - b
+    pair = pair[new]
     with np.errstate(divide="ignore"):
         ratio = b / a
-    order = np.argsort(ratio, kind="stable")
-    a, b, ratio = a[order], b[order], ratio[order]
-    below, above = np.cumsum(a), b.sum() - np.cumsum(b)
-    last = np.searchsorted(ratio, ratio, "right") - 1
+    order = np.lexsort((ratio, pair))
+    pair, a, b, ratio = pair[order], a[order], b[order], ratio[order]
+    # Of each key in both bags: the keys of its pair with at most its ratio weigh by a, the others by b.
+    first = np.searchsorted(pair, np.arange(n + 1))
+    last = np.ones(len(pair), bool)
+    last[:-1] = (ratio[1:] != ratio[:-1]) | (pair[1:] != pair[:-1])
+    upto = np.flatnonzero(last)[np.cumsum(last) - last]
+    sum_a, sum_b = (np.concatenate([[0.0], np.cumsum(x)]) for x in (a, b))
+    below = sum_a[upto + 1] - sum_a[first[pair]]
+    above = sum_b[first[pair + 1]] - sum_b[upto + 1]
     both = (a > 0) & (b > 0)
-    return float((1.0 / (below[last][both] / a[both] + above[last][both] / b[both])).sum())
+    return np.bincount(pair[both], 1.0 / (below[both] / a[both] + above[both] / b[both]), minlength=n)
 
 
 def _compare(least: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(2), batch.column(3))]
-            alike = [similarity(*(v[o[i] : o[i + 1]] for o, v in sides)) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(alike) >= least - 1e-9, pa.bool_())], names=["a", "b", "linked"])
+            sides = [(c.offsets.to_numpy().astype(np.int64), c.values.to_numpy()) for c in (batch.column(2), batch.column(3))]
+            sizes = sum(np.diff(o) for o, _ in sides)
+            alike = [np.zeros(0)]
+            for lo, hi in B.chunks(np.concatenate([[0], np.cumsum(sizes)])):
+                held = [(np.diff(o[lo : hi + 1]), v[o[lo] : o[hi]]) for o, v in sides]
+                pair = np.concatenate([np.repeat(np.arange(hi - lo), count) for count, _ in held])
+                side = np.repeat([0, 1], [len(v) for _, v in held])
+                alike.append(similarities(pair, np.concatenate([v for _, v in held]), side, hi - lo))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(alike) >= least - 1e-9, pa.bool_())], names=["a", "b", "linked"])
 
     return run
 
@@ -184,63 +197,73 @@ def _verify(pairs: DataFrame, known: DataFrame, least: float, name: str) -> Data
     return stored(joined.mapInArrow(_compare(least), "a long, b long, linked boolean").distinct(), f"{name}-links")[0]
 
 
-def prefix(vector: np.ndarray, counters: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The first keys of a bag in the order of counters (then of keys), and which of them are in its short prefix.
+def _parity(text: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts, `PARITY` longs of bits: the parity of the number of its distinct keys that hash there."""
+    bits = np.bincount(text * (64 * PARITY) + (B.mix(key.view(np.uint64)) % np.uint64(64 * PARITY)).astype(np.int64), minlength=n * 64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(n, -1), axis=1, bitorder="little").view(np.int64)
 
-    With P and Q the shares of two bags outside each other, the similarity is at most
-    2 / ((1 + P) / (1 - P) + (1 + Q) / (1 - Q)).  At `least`, both shares are then at most 1 - least and one of them at
-    most (1 - least) / (1 + least).  Prefixes hold a little more than these shares, so the long prefix of one bag meets
-    the short one of the other: else the one whose prefix ends first would lie outside the other by more than its bound.
-    """
-    keys, n = np.unique(vector, return_counts=True)
-    order = np.lexsort((keys, counters[keys & (len(counters) - 1)]))
-    before = np.cumsum(n[order]) - n[order]
-    long, short = (before <= (share + 1e-6) * len(vector) for share in (1 - least, (1 - least) / (1 + least)))
-    return keys[order][long], short[long]
+
+_PARITIES = [f"o{i}" for i in range(PARITY)]
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, label, vector) as one row for each distinct key; and its number and the total of the text."""
+    for batch in batches:
+        offsets, values = batch.column(2).offsets.to_numpy().astype(np.int64), batch.column(2).values.to_numpy()
+        for lo, hi in B.chunks(offsets):
+            size = np.diff(offsets[lo : hi + 1])
+            text, key, n = _weighted(np.repeat(np.arange(hi - lo), size), values[offsets[lo] : offsets[hi]])
+            own = [batch.column(i).slice(lo, hi - lo).take(pa.array(text)) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(size[text]), pa.array(key), pa.array(n)], names=["node", "label", "total", "key", "n"])
 
 
-def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << LOG2_COUNTERS, np.int64)
+def _parity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = batch.column(0).flatten().to_numpy()
-        total += np.bincount(keys & (len(total) - 1), minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+        offsets, values = batch.column(1).offsets.to_numpy().astype(np.int64), batch.column(1).values.to_numpy()
+        for lo, hi in B.chunks(offsets):
+            text, key, _ = _weighted(np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])), values[offsets[lo] : offsets[hi]])
+            table = _parity(text, key, hi - lo)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], names=["node", *_PARITIES])
 
 
 def _proposed(known: DataFrame, placed: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of known nodes in different components (placed: node, label) that share a key of their prefixes: all that can be alike.
+    """Pairs (a, b) of known nodes in different components (placed: node, label) that may be alike: every pair at `least` is among them.
 
-    Any one order of the keys gives every such pair; counters of fixed size put frequent keys last.
-    """
-    counted = known.select("vector").mapInArrow(_count_keys, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counters = np.zeros(1 << LOG2_COUNTERS, np.int64)
-    counters[counted["at"].to_numpy()] = counted["n"].to_numpy()
-    table = known.sparkSession.sparkContext.broadcast(counters)
+    With P and Q the shares of two bags outside each other, the similarity is at most 2 / (f(P) + f(Q)) with
+    f(x) = (1 + x) / (1 - x).  Two bounds follow, and a pair has to pass both.
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
-            found = [prefix(values[offsets[i] : offsets[i + 1]], table.value, least) for i in range(batch.num_rows)]
-            if found:
-                node = np.repeat(batch.column(0).to_numpy(), [len(k) for k, _ in found])
-                yield pa.RecordBatch.from_arrays([pa.array(node), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], names=["node", "key", "short"])
-
-    keyed = known.mapInArrow(prefixes, "node long, key long, short boolean").join(placed, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    keyed, _ = stored(keyed, "near-prefixes")
-    several = keyed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where(F.col("l") != F.col("m")).select("key")
-    shared, _ = stored(keyed.join(several, "key", "left_semi").distinct(), "near-prefixes")
-    ones = shared.where("short").select("key", "label").distinct()
-    others = shared.select("key", F.col("label").alias("other")).distinct()
-    met = ones.join(others, "key").where(F.col("label") != F.col("other"))
-    reach = shared.where("short").join(met, ["key", "label"]).select("key", "other", F.col("node").alias("x"))
-    both = reach.join(shared.select("key", F.col("label").alias("other"), F.col("node").alias("y")), ["key", "other"])
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    * Keys are ordered by the pairs that they would propose (in different components), fewest first.  What lies before
+      the first common key of two bags in this order is outside the other, so the shares before it bound P and Q; each
+      alone is at most 1 - least, which ends a bag's prefix.
+    * Bits where two parity sketches differ are keys of one bag only (common keys cancel), so their number D is at most
+      P and Q times the sizes, and, as f is convex, at most (1 - least) / (1 + least) times twice the larger size.
+    """
+    f = lambda x: (1 + x) / (1 - x)
+    may = lambda p, q: f(F.col(p)) + f(F.col(q)) <= 2 / least + 1e-6
+    keyed, _ = stored(known.join(placed, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "vector").mapInArrow(_shingle_rows, "node long, label long, total long, key long, n long"), "near-keys")
+    members = F.col("m").cast("double")
+    common = (
+        keyed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+        .groupBy("key").agg((F.sum(members) ** 2 - F.sum(members * members)).alias("cost"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    )
+    node = Window.partitionBy("node")
+    before = F.sum("n").over(node.orderBy("cost", "key")) - F.col("n") + F.col("total") - F.sum("n").over(node)
+    prefixes = keyed.join(common, "key").withColumn("p", before / F.col("total")).where(F.col("p") <= 1 - least + 1e-6).select("node", "label", "total", "key", "p")
+    prefixes, _ = stored(prefixes.join(known.mapInArrow(_parity_rows, "node long, " + ", ".join(f"{x} long" for x in _PARITIES)), "node"), "near-prefixes")
+
+    sides = prefixes.groupBy("key", "label").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("m"))
+    others = sides.select("key", F.col("label").alias("other"), F.col("p").alias("q"), F.col("m").alias("k"))
+    met = sides.join(others, "key").where(may("p", "q") & (F.struct("m", "label") < F.struct("k", "other"))).select("key", "label", "other")
+    reach = prefixes.join(met, ["key", "label"]).drop("label")
+    there = prefixes.select("key", F.col("label").alias("other"), F.col("node").alias("y"), F.col("total").alias("y_total"), F.col("p").alias("q"), *[F.col(x).alias(f"y_{x}") for x in _PARITIES])
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"y_{x}"))) for x in _PARITIES[1:]), F.bit_count(F.col("o0").bitwiseXOR(F.col("y_o0"))))
+    near = differ <= (1 - least) / (1 + least) * 2 * F.greatest("total", "y_total") + 1e-6
+    both = reach.join(there, ["key", "other"]).where(may("p", "q") & near)
+    return both.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id and n_links (verified links of the text to other texts) for every row of docs."""
+    """doc_id and class_id for every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches, _ = stored(rows.mapInArrow(_sketch, "doc_id long, node long, bands array<long>"), "near-sketches")
 
@@ -272,20 +295,17 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         known = _vectors(open_nodes, nodes, rows, "near-2")
         more, _ = stored(_proposed(known, found, least).join(links.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
         fresh = _verify(more, known, least, "near-2")
-        links = links.unionByName(fresh)
         found = labels(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(fresh.where("linked").select("a", "b")))
 
-    linked = links.where("linked").select("a", "b")
-    degree = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     firsts = nodes.groupBy("node").agg(F.min("first_id").alias("first_id"))
-    placed = found.join(firsts, "node").join(degree, "node").withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int"))
+    placed = found.join(firsts, "node").withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int"))
     heads = placed.groupBy("label").agg(F.min("first_id").alias("class_id")).withColumn("salt", salts).hint("merge")
-    of_linked = placed.join(heads, ["label", "salt"]).select("node", "class_id", "n_links")
-    of_copied = groups.where(F.col("n") > 1).join(of_linked, "node", "left_anti").select("node", F.col("first_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    of_linked = placed.join(heads, ["label", "salt"]).select("node", "class_id")
+    of_copied = groups.where(F.col("n") > 1).join(of_linked, "node", "left_anti").select("node", F.col("first_id").alias("class_id"))
     known = of_linked.unionByName(of_copied).withColumn("salt", salts).hint("merge")
     return (
         sketches.select("doc_id", "node").withColumn("salt", salt).join(known, ["node", "salt"], "left")
-        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     )
 
 

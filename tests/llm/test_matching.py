@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from compare import SMALL, connect, same
@@ -58,35 +59,42 @@ def test_a_family_that_shares_a_template(spark):
     for i in range(600):
         both = prose(3000 + i, 7, 4000)  # three shingles more than the others share: 129 of 161, not 126 of 164
         texts += [" ".join([template, prose(4000 + 2 * i + k, 12, 4000), both]) for k in (0, 1)]
-    vectors = [np.sort(np.array([hash(k) for k in bag(t).elements()], np.int64)) for t in texts]
-    like = lambda a, b: op03_near_duplicates.similarity(vectors[a], vectors[b])
+    bags = [Counter({hash(k): n for k, n in bag(t).items()}) for t in texts]
+    like = lambda a, b: similarities([(bags[a], bags[b])])[0]
     assert all(like(k, k + 1) >= 0.8 for k in range(0, 1200, 2)) and all(0.7 < like(k, m) < 0.8 for k in range(0, 1200, 7) for m in range(0, 1200, 11) if k // 2 != m // 2)
     found = {r.doc_id: r.class_id for r in op03_near_duplicates.classes(docs(spark, texts)).collect()}
     assert found == {k: k // 2 * 2 for k in range(1200)}
 
 
-def test_prefixes_of_alike_bags_meet():
-    pick, met = random.Random(1), 0
-    counters = np.array([pick.randrange(3) for _ in range(64)])
-    for _ in range(3000):
-        x = Counter(pick.choices(range(200), k=pick.randint(3, 25)))
-        y = x.copy()
-        for _ in range(pick.randint(0, 3)):
-            y[pick.choice([*y, pick.randrange(200)])] += 1
-        a, b = (np.array(sorted(c.elements()), np.int64) for c in (x, y))
-        if op03_near_duplicates.similarity(a, b) >= 0.8:
-            met += 1
-            (ka, sa), (kb, sb) = (op03_near_duplicates.prefix(v, counters, 0.8) for v in (a, b))
-            assert set(ka) & set(kb[sb]) or set(ka[sa]) & set(kb)
-    assert met > 500
+def similarities(pairs):
+    """Similarities of pairs of counters with whole numbers as keys."""
+    sides = [(i, k, side) for i, pair in enumerate(pairs) for side, bag in enumerate(pair) for k in bag.elements()]
+    pair, key, side = (np.array(x, np.int64) for x in zip(*sides, strict=True))
+    return op03_near_duplicates.similarities(pair, key, side, len(pairs))
+
+
+def test_proposals_lose_no_pair(spark):
+    pick, bags = random.Random(1), []
+    for _ in range(40):
+        x = Counter(pick.choices(range(120), k=pick.randint(3, 40)))
+        bags.append(x)
+        for _ in range(4):
+            y = x.copy()
+            for _ in range(pick.randint(0, 3)):
+                y[pick.choice([*y, pick.randrange(200)])] += 1
+            bags.append(y)
+    known = spark.createDataFrame([(i, sorted(b.elements())) for i, b in enumerate(bags)], "node long, vector array<long>")
+    placed = spark.createDataFrame([(i, i // 2 * 2) for i in range(0, len(bags), 2)] + [(i, i - 1) for i in range(1, len(bags), 2)], "node long, label long")
+    found = {(r.a, r.b) for r in op03_near_duplicates._proposed(known, placed, 0.8).collect()}
+    pairs = [(a, b) for a, b in combinations(range(len(bags)), 2) if a // 2 != b // 2]
+    alike = {p for p, s in zip(pairs, similarities([(bags[a], bags[b]) for a, b in pairs]), strict=True) if s >= 0.8}
+    assert len(alike) > 100 and alike <= found and all(a // 2 != b // 2 for a, b in found) and len(found) < len(pairs) / 4
 
 
 def test_similarity_is_the_probability_jaccard():
     pick = random.Random(0)
-    for _ in range(30):
-        x, y = (Counter(pick.choices(range(12), k=pick.randint(1, 20))) for _ in range(2))
-        a, b = (np.array(sorted(c.elements()), np.int64) for c in (x, y))
-        assert op03_near_duplicates.similarity(a, b) == pytest.approx(jaccard(x, y))
+    pairs = [tuple(Counter(pick.choices(range(12), k=pick.randint(1, 20))) for _ in range(2)) for _ in range(60)]
+    assert similarities(pairs) == pytest.approx([jaccard(x, y) for x, y in pairs])
 
 
 def test_signatures_estimate_it():
@@ -160,6 +168,35 @@ def test_repeats_of_the_table_equal_brute_force(spark):
     assert found == brute([tuple(r) for r in rows])
 
 
+@pytest.mark.parametrize("hot", [0, 512])
+def test_a_sentence_in_a_third_of_the_texts(spark, monkeypatch, hot):
+    """72 bytes are common, their neighbours differ: no window repeats, but for a few planted ones; no key has many rows."""
+    monkeypatch.setattr(op04_suffix_dedup, "HOT", hot)
+    sentence, texts = prose(77, 14)[:72], []
+    for i in range(1800):
+        tail = prose(5000 + i, 6, 3000) if i % 60 else prose(5000, 30, 3000)
+        texts.append(f"{prose(9000 + i, 25, 3000)} {sentence} {tail}" if i % 3 == 0 else prose(9000 + i, 40, 3000))
+    frame = docs(spark, texts).repartition(4)
+    assert repeats(frame) == brute(list(enumerate(texts)))
+    plain = frame.selectExpr("doc_id AS doc", "text")
+    dealt = plain.mapInArrow(op04_suffix_dedup._anchor_rows, op04_suffix_dedup._DEALT)
+    assert dealt.groupBy("key").count().agg(F.max("count")).first()[0] < 60 < dealt.count() / 200
+
+
+def test_byte_passes_order_suffixes_by_their_bytes():
+    random_bytes = np.random.default_rng(3)
+    buf = np.concatenate([random_bytes.integers(0, 2, 3000), np.tile(random_bytes.integers(0, 256, 130), 5)]).astype(np.uint8)
+    buf = np.concatenate([buf, buf[100:400], buf[2500:2760]])
+    start = np.arange(len(buf) - 99)
+    group = start // 1500
+    seen, expected = set(), []
+    for s in start:
+        window = (group[s], buf[s : s + 100].tobytes())
+        expected.append(window in seen)
+        seen.add(window)
+    assert op04_suffix_dedup.repeats(buf, start, group).tolist() == expected
+
+
 def test_repeat_edges(spark):
     found = op04_suffix_dedup.remove_repeats(awkward(spark), keep=["doc_id", "lang"]).collect()
     assert len(found) == len(AWKWARD) + 3
@@ -247,6 +284,23 @@ def test_regular_substitutions_and_short_items_are_found(spark):
         assert {(r.doc_id, r.item_id) for r in found} == {(k, 0) for k in range(4)} | exact | one
 
 
+def test_leaks_by_row_at_every_size_equal_sql(spark):
+    item, other = prose(5, 30, 4000).split(), prose(8, 25, 4000).split()
+    held = lambda n: spark.createDataFrame([(i, t) for i, t in n], "doc_id long, text string")
+    rows = held([
+        (None, " ".join(item)), (None, prose(7, 40)), (None, " ".join(other) + "."), (4, "x " + " ".join(item[:20])), (4, prose(9, 30)), (4, "x " + " ".join(item[:20])),
+        (5, None), (6, ""), (7, prose(11, 30_000) + " " + " ".join(w if k % 4 else "zz" for k, w in enumerate(item))), (8, "... " + " ".join(other[:5]) + " ..."), (9, "(tiny one)"),
+    ])
+    benchmark = spark.createDataFrame([(1, " ".join(item) + " ?"), (1, " ".join(other)), (None, "Tiny, one!"), (3, " ".join(other[:5])), (4, None)], "item_id long, text string")
+    con = duckdb.connect()
+    for name, frame in (("documents", rows), ("benchmark", benchmark)):
+        con.register(name, frame.toArrow())
+    for most in (op07_decontamination.MAX_SEEDS, 1):
+        same(op07_decontamination.leaks(rows, benchmark, max_seeds=most), con, op07_decontamination.ORACLE_SQL)
+    found = {(r.doc_id, r.item_id): r.n_item for r in op07_decontamination.leaks(rows, benchmark).collect()}
+    assert found == {(None, 1): 30, (4, 1): 30, (7, 1): 30, (8, 3): 5, (None, 3): 5, (9, None): 2} and not any(map(found.get, [(6, 1), (5, 1)]))
+
+
 def test_leak_edges(spark):
     benchmark = spark.createDataFrame([(1, prose(5, 20), 0)], "item_id long, text string, score int")
     assert op07_decontamination.leaks(awkward(spark), benchmark).count() == 0
