@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 from collections import Counter
 from itertools import combinations
 
@@ -327,6 +328,41 @@ def test_nearest_ancestor_speaks(spark):
     }
 
 
+def licence_text(name, most=10**6):
+    return next(t for n, t in sorted(op10_licenses.TEMPLATES, key=lambda x: -len(x[1])) if n == name and len(t) < most)
+
+
+def wrapped(text, lead="", width=60):
+    return "\n".join(lead + x for x in textwrap.wrap(text, width))
+
+
+def test_licence_texts_and_wrapped_headers_are_read(spark):
+    mit = "MIT License\n\nCopyright (c) 2024 A. Person\n\n" + wrapped(licence_text("MIT").partition("Copyright (c). ")[2].replace(" The above", "\n\nThe above"))
+    bsd = wrapped(licence_text("BSD-2-Clause")).replace("met:", "met:\n\n1.").replace("Redistributions in", "\n2. Redistributions in").replace("THIS", "\nTHIS", 1)
+    code = "\n\nimport os\n\n" + "\n".join(prose(i, 8) for i in range(30))
+    rows = [
+        (1, "m/LICENSE", mit), (2, "m/a.py", "x = 1"), (3, "b/LICENSE.txt", bsd), (4, "b/x/y.c", ""), (5, "b/h.js", wrapped(licence_text("MPL-2.0", 500), " * ") + code),
+        (6, "b/g.py", wrapped(licence_text("GPL-3.0"), "# ") + code), (7, "o/COPYING", "SPDX-License-Identifier: MIT\n" + prose(3, 200)), (8, "o/n.txt", "none"),
+        (9, "q/long.txt", prose(5, 20_000) + "\n\nthe license of\nthis " + prose(6, 60)),
+    ]
+    found = {r.file: (r.license, r.origin) for r in op10_licenses.scan(spark.createDataFrame(rows, "file long, path string, text string")).collect()}
+    assert found == {
+        1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("BSD-2-Clause", "own"), 4: ("BSD-2-Clause", "inherited"), 5: ("MPL-2.0", "own"), 6: ("GPL-3.0", "own"), 7: ("MIT", "own"), 8: ("MIT", "inherited"), 9: (None, "none"),
+    }
+
+
+def test_rows_that_share_an_id_are_files_of_their_own_as_in_sql(spark):
+    mit = "Released under the MIT License."
+    texts = [(7, mit, "s"), (7, prose(1, 40), "s"), (7, mit, "s"), (None, mit, "s"), (None, prose(2, 30), None), (8, wrapped(licence_text("MPL-2.0", 500), "// ") + "\n\n" + prose(4, 90), "s"), (9, None, "s"), (10, "", None), (11, mit + "\n\n" + mit, "t")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", frame.toArrow())
+    rows = frame.select(F.col("doc_id").alias("file"), op10_licenses.document_path(F.col("doc_id"), F.col("source")).alias("path"), "text")
+    same(op10_licenses.scan(rows).withColumnRenamed("file", "doc_id"), con, op10_licenses.ORACLE_SQL)
+    found = [(r.file, r.license, r.origin) for r in op10_licenses.scan(rows).collect()]
+    assert Counter(found)[(7, "MIT", "own")] == 2 and (7, "MIT", "inherited") in found and (None, "MIT", "own") in found and (None, None, "none") in found and (8, "MPL-2.0", "own") in found
+
+
 def test_licence_edges(spark):
     files = awkward(spark).select(F.monotonically_increasing_id().alias("file"), F.lit("a/b").alias("path"), "text", "score")
     assert op10_licenses.scan(files).count() == len(AWKWARD) + 3
