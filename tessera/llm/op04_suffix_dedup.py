@@ -169,15 +169,22 @@ _SUFFIXES = "key long, doc long, begin int, size int, bytes binary"
 def _gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     """The byte ranges of a buffer, as binary values."""
     cuts = np.concatenate([[0], np.cumsum(size)])
-    at = np.repeat(start - cuts[:-1], size) + np.arange(cuts[-1])
-    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(buf[at].tobytes())])
+    if len(size) and (size == LENGTH).all():
+        held = np.lib.stride_tricks.sliding_window_view(buf, LENGTH)[start]
+    else:
+        held = buf[np.repeat(start - cuts[:-1], size) + np.arange(cuts[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(held.tobytes())])
 
 
 def _suffix_rows(hot):  # noqa: ANN001, ANN202
     """Texts with undecided anchors (begin, end, first): for each the bytes of its windows, dealt by first digit; of hot ones each window, by a hash of its bytes."""
 
-    def row(key: np.ndarray, doc: np.ndarray, begin: np.ndarray, size: np.ndarray, held: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(B.as_long(key)), pa.array(doc), pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32)), held], names=["key", "doc", "begin", "size", "bytes"])
+    def rows(part: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarray, begin: np.ndarray, size: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows with `held` bytes from `start` in the chunk."""
+        for lo in range(0, len(key), 4096):
+            at = slice(lo, lo + 4096)
+            columns = [B.as_long(key[at]), doc[at], begin[at].astype(np.int32), size[at].astype(np.int32), _gather(part, start[at], held[at])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns[:4]] + columns[4:], names=["key", "doc", "begin", "size", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +198,7 @@ def _suffix_rows(hot):  # noqa: ANN001, ANN202
                 count = spans.field(1).to_numpy() + cuts[of] - begin + 1
                 many = sieve.passes(hot.value, first)
                 cold = ~many
-                yield row(first[cold], ids[lo:hi][of[cold]], begin[cold] - cuts[of[cold]], count[cold], _gather(part, begin[cold], count[cold] + LENGTH - 1))
+                yield from rows(part, first[cold], ids[lo:hi][of[cold]], begin[cold], begin[cold] - cuts[of[cold]], count[cold], count[cold] + LENGTH - 1)
                 begin, count, of = begin[many], count[many], of[many]
                 if not len(begin):
                     continue
@@ -205,7 +212,7 @@ def _suffix_rows(hot):  # noqa: ANN001, ANN202
                 new[1:] = (window[order][1:] != window[order][:-1]) | (tail[order][1:] != tail[order][:-1])
                 for at, size in ((order[new], 1), (order[~new], -1)):
                     key = window[at] if size > 0 else B.mix(doc[at].view(np.uint64))
-                    yield row(key, doc[at], start[at] - cuts[text[at]], np.full(len(at), size), _gather(part, start[at], np.full(len(at), LENGTH if size > 0 else 0)))
+                    yield from rows(part, key, doc[at], start[at], start[at] - cuts[text[at]], np.full(len(at), size), np.full(len(at), LENGTH if size > 0 else 0))
 
     return run
 
@@ -261,7 +268,7 @@ def _byte_passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
     wait: list[pa.RecordBatch] = []  # rows of the last key, of which more may come
-    for batch in batches:
+    for batch in (whole.slice(lo, 2048) for whole in batches for lo in range(0, whole.num_rows, 2048)):
         size = batch.column(3).to_numpy()
         known = size < 0
         doc, begin = batch.column(1).to_numpy()[known], batch.column(2).to_numpy()[known].astype(np.int64)
