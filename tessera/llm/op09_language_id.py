@@ -1,16 +1,18 @@
 """Language identification: a bidirectional gated recurrent network over bytes, trained in numpy.
 
-A text is read in windows of `WINDOW` bytes.  In each window one recurrent unit reads the bytes forwards and another
-backwards; at every position the two states give a probability for each language (the position's label), and a
-document's probabilities are the mean over all its positions.  Training is backpropagation through time on windows of a
-bounded sample of documents (`max_texts`, those with the least hash of doc_id; one window of each, placed by hash).
+Texts are read whole: one recurrent unit reads the bytes forwards from the first and another backwards from the last; at
+every position the two states give a probability for each language (the position's label), and a document's probabilities
+are the mean over all its positions.  Training is backpropagation through time on windows of a bounded sample of
+documents (`max_texts`, those with the least hash of doc_id; one window of each, placed by hash).
 
-Scoring is one narrow pass.  Windows of many documents advance together, so the memory is that of one block whatever
-the length of a text.
+Scoring is one narrow pass.  Texts of like length advance together, and long ones in pieces of positions: a first pass
+backwards keeps the backward states at the ends of the pieces, a second one goes through the pieces forwards with both
+directions.  So at most the states of one piece (`_CELLS` bytes of texts) are kept, whatever the length of a text.
 
 Defined cases: a null text or one without a letter is `und` with score 0; null languages are not learned from; without
 any learned language every text is `und`; ties go to the first language in order; a null doc_id is not held out; extra
-columns are ignored; repeated rows repeat.
+columns are ignored or carried, whatever their names (`lang_pred` and `score` replace kept columns of these names);
+repeated rows repeat; training windows shorter than `TRAIN_LENGTH` end there, without padding.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as B
 from tessera.llm.op06_toxicity import held_out
-from tessera.llm.shared import least_hashed
+from tessera.llm.shared import carry, least_hashed
 
-WINDOW = 96
 HIDDEN = 8
 MAX_TEXTS = 3_000
 TRAIN_LENGTH = 64
-_PAD = 256
-_BLOCK = 2048
+_CODES = 256
+_CELLS = 1 << 19
+_LONG = 1 << 12
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -50,18 +52,21 @@ class Network:
         self.p = {"out": small(2 * hidden, len(languages)), "bias": np.zeros(len(languages), np.float32)}
         for side in "fb":
             for gate in "rzn":
-                self.p[f"{side}{gate}x"] = small(_PAD, hidden)
+                self.p[f"{side}{gate}x"] = small(_CODES, hidden)
                 self.p[f"{side}{gate}h"] = small(hidden, hidden)
 
     # -- training: all states of a batch are kept for the way back
 
-    def _forward(self, side: str, x: np.ndarray) -> tuple[np.ndarray, list]:
+    def _forward(self, side: str, x: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """States at each position (rows of x); outside their text they stay as they are."""
         p, (steps, n) = self.p, x.shape
         h = np.zeros((n, self.hidden), np.float32)
         states, trail = np.zeros((steps, n, self.hidden), np.float32), []
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
             r = _sigmoid(p[f"{side}rx"][x[t]] + h @ p[f"{side}rh"])
             z = _sigmoid(p[f"{side}zx"][x[t]] + h @ p[f"{side}zh"])
+            if inside is not None:
+                z *= inside[t][:, None]
             u = h @ p[f"{side}nh"]
             c = np.tanh(p[f"{side}nx"][x[t]] + r * u)
             trail.append((t, h, r, z, u, c))
@@ -90,116 +95,110 @@ class Network:
         for gate, parts in at.items():
             d = np.concatenate(parts)
             for k in range(self.hidden):
-                g[f"{side}{gate}x"][:, k] += np.bincount(code, d[:, k], _PAD)
+                g[f"{side}{gate}x"][:, k] += np.bincount(code, d[:, k], _CODES)
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 240, batch: int = 192, rate: float = 0.02, seed: int = 5) -> None:
-        """x: windows by rows of bytes; y: numbers of their languages."""
+    def train(self, x: np.ndarray, size: np.ndarray, y: np.ndarray, steps: int = 240, batch: int = 192, rate: float = 0.02, seed: int = 5) -> None:
+        """x: windows by rows of bytes, of which the first `size` count; y: numbers of their languages."""
         random = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
             pick = random.choice(len(x), batch)
             part, label = np.ascontiguousarray(x[pick].T), y[pick]
-            forward, f_trail = self._forward("f", part)
-            backward, b_trail = self._forward("b", part)
+            inside = (np.arange(len(part))[:, None] < size[pick]).astype(np.float32)
+            forward, f_trail = self._forward("f", part, inside)
+            backward, b_trail = self._forward("b", part, inside)
             both = np.concatenate([forward, backward], 2)
             logits = both @ self.p["out"] + self.p["bias"]
             slope = np.exp(logits - logits.max(2, keepdims=True))
             slope /= slope.sum(2, keepdims=True)
             slope[:, np.arange(batch), label] -= 1
-            slope /= slope.shape[0] * batch
+            slope *= inside[:, :, None] / inside.sum()
             g = {k: np.zeros_like(v) for k, v in self.p.items()}
             g["out"] = both.reshape(-1, 2 * self.hidden).T @ slope.reshape(-1, slope.shape[2])
             g["bias"] = slope.sum((0, 1))
             down = slope @ self.p["out"].T
             self._backward("f", part, down[:, :, : self.hidden], f_trail, g)
             self._backward("b", part, down[:, :, self.hidden :], b_trail, g)
-            size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, v in g.items():
-                v = v * min(1.0, 1.0 / (size + 1e-12))
+                v = v * min(1.0, 1.0 / (norm + 1e-12))
                 first[k] = 0.9 * first[k] + 0.1 * v
                 second[k] = 0.99 * second[k] + 0.01 * v * v
                 self.p[k] = (self.p[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
 
-    # -- reading: gates of both halves of a sigmoid are folded into the weights; padding leaves a state as it is
-
-    def _tables(self, side: str) -> tuple[np.ndarray, ...]:
-        p = self.p
-        pad = np.zeros((1, self.hidden), np.float32)
-        rx = np.concatenate([p[f"{side}rx"] * 0.5, pad])
-        zx = np.concatenate([p[f"{side}zx"] * 0.5, pad - 1e4])
-        nx = np.concatenate([p[f"{side}nx"], pad])
-        return rx, zx, nx, p[f"{side}rh"] * np.float32(0.5), p[f"{side}zh"] * np.float32(0.5), p[f"{side}nh"].copy()
-
-    def _step(self, tables: tuple[np.ndarray, ...], code: np.ndarray, h: np.ndarray, work: list[np.ndarray]) -> None:
-        rx, zx, nx, rh, zh, nh = tables
-        r, z, c, u = work
-        np.take(rx, code, axis=0, out=r, mode="clip")
-        np.matmul(h, rh, out=u)
-        r += u
-        np.tanh(r, out=r)
-        np.take(zx, code, axis=0, out=z, mode="clip")
-        np.matmul(h, zh, out=u)
-        z += u
-        np.tanh(z, out=z)
-        np.matmul(h, nh, out=u)
-        u *= 0.5
-        r += 1
-        r *= u
-        np.take(nx, code, axis=0, out=c, mode="clip")
-        c += r
-        np.tanh(c, out=c)
-        c -= h
-        z += 1
-        z *= 0.5
-        c *= z
-        h += c
-
-    def positions(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """From the last position to the first, the probabilities of the languages in every window (columns of x)."""
-        steps, n = x.shape
-        work = [np.empty((n, self.hidden), np.float32) for _ in range(4)]
-        ahead = np.empty((steps, n, self.hidden), np.float32)
+    # -- reading: gates of both halves of a sigmoid are folded into the weights
+
+    def _tables(self, side: str) -> tuple[np.ndarray, np.ndarray]:
+        """Byte to (reset, update, candidate), state to the same; u of the candidate is halved as its gate is doubled."""
+        halves = {"r": 0.5, "z": 0.5, "n": 1.0}
+        by_byte = np.stack([self.p[f"{side}{gate}x"] * half for gate, half in halves.items()])
+        by_state = np.stack([self.p[f"{side}{gate}h"] * 0.5 for gate in halves])
+        return by_byte.astype(np.float32), by_state.astype(np.float32)
+
+    def _states(self, side: str, codes: np.ndarray, active: np.ndarray, h: np.ndarray, kept: np.ndarray | None) -> None:
+        """Steps texts (longest first, `active` at each position) through the positions of a piece, changing their states h.
+
+        codes: positions by texts; kept: positions by texts by hidden, gets all states.
+        """
+        by_byte, by_state = self._tables(side)
+        for t in range(len(codes)) if side == "f" else range(len(codes) - 1, -1, -1):
+            m = active[t]
+            now = h[:m]
+            x = by_byte.take(codes[t, :m], 1)
+            u = now @ by_state
+            gates, c = x[:2], u[2]
+            gates += u[:2]
+            np.tanh(gates, out=gates)
+            gates += 1
+            c *= gates[0]
+            c += x[2]
+            np.tanh(c, out=c)
+            c -= now
+            gates[1] *= 0.5
+            c *= gates[1]
+            now += c
+            if kept is not None:
+                kept[t, :m] = now
+
+    def _summed(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, cells: int) -> np.ndarray:
+        """Sums of the positions' probabilities of texts, longest first."""
+        n, longest = len(size), int(size[0])
+        active = np.searchsorted(-size, -np.arange(1, longest + 1), "right").tolist()
+        steps = max(1, cells // n)
+        pieces = [(lo, min(lo + steps, longest)) for lo in range(0, longest, steps)]
+        codes = lambda lo, hi: buf[np.minimum(start[: active[lo]] + np.arange(lo, hi)[:, None], len(buf) - 1)]
         h = np.zeros((n, self.hidden), np.float32)
-        tables = self._tables("f")
-        for t in range(steps):
-            self._step(tables, x[t], h, work)
-            ahead[t] = h
-        h = np.zeros((n, self.hidden), np.float32)
-        tables = self._tables("b")
-        upper, lower = self.p["out"][: self.hidden].copy(), self.p["out"][self.hidden :].copy()
-        for t in range(steps - 1, -1, -1):
-            self._step(tables, x[t], h, work)
-            p = ahead[t] @ upper
-            p += h @ lower
+        behind = [h.copy()]
+        for lo, hi in pieces[:0:-1]:
+            self._states("b", codes(lo, hi), active[lo:hi], h, None)
+            behind.append(h.copy())
+        ahead, total = np.zeros((n, self.hidden), np.float32), np.zeros((n, len(self.languages)))
+        for (lo, hi), back in zip(pieces, behind[::-1], strict=True):
+            m, x, on = active[lo], codes(lo, hi), active[lo:hi]
+            kept = np.zeros((2, hi - lo, m, self.hidden), np.float32)
+            self._states("f", x, on, ahead, kept[0])
+            self._states("b", x, on, back, kept[1])
+            p = kept[0] @ self.p["out"][: self.hidden]
+            p += kept[1] @ self.p["out"][self.hidden :]
             p += self.p["bias"]
             np.exp(p, out=p)
-            p /= p @ np.ones((p.shape[1], 1), np.float32)
-            yield t, p
+            p *= (np.arange(m) < np.array(on)[:, None])[:, :, None] / (p @ np.ones((p.shape[2], 1), np.float32))
+            total[:m] += p.sum(0)
+        return total
 
-    def read(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def read(self, buf: np.ndarray, offsets: np.ndarray, cells: int = _CELLS, long: int = _LONG) -> np.ndarray:
         """Mean probabilities of each text of a buffer (zeros for an empty one)."""
-        n, lengths = len(offsets) - 1, np.diff(offsets)
-        per = -(-lengths // WINDOW)
-        doc = np.repeat(np.arange(n), per)
-        start = offsets[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * WINDOW
-        size = np.minimum(WINDOW, offsets[doc + 1] - start)
-        total = np.zeros((n, len(self.languages)))
-        order = np.argsort(-size, kind="stable")
-        for lo in range(0, len(order), _BLOCK):
-            block = order[lo : lo + _BLOCK]
-            at = start[block][None, :] + np.arange(size[block[0]])[:, None]
-            inside = np.arange(size[block[0]])[:, None] < size[block][None, :]
-            x = np.where(inside, buf[np.minimum(at, len(buf) - 1)], _PAD).astype(np.int64)
-            gathered = np.zeros((len(block), len(self.languages)), np.float32)
-            whole = size[block[-1]]
-            for t, p in self.positions(x):
-                if t >= whole:
-                    p *= inside[t][:, None]
-                gathered += p
-            for k in range(gathered.shape[1]):
-                total[:, k] += np.bincount(doc[block], gathered[:, k], n)
+        lengths = np.diff(offsets)
+        total = np.zeros((len(lengths), len(self.languages)))
+        order = np.argsort(-lengths, kind="stable")
+        n_long, n_filled = int((lengths > long).sum()), int((lengths > 0).sum())
+        sums = np.concatenate([[0], np.cumsum(lengths[order[n_long:n_filled]])])
+        for lo, hi in [(0, n_long), *((n_long + a, n_long + b) for a, b in B.chunks(sums, cells))]:
+            if hi > lo:
+                own = order[lo:hi]
+                total[own] = self._summed(buf, offsets[own], lengths[own], cells)
         return total / np.maximum(1, lengths)[:, None]
 
 
@@ -215,43 +214,37 @@ def train(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Network | None:
     if not pairs:
         return None
     languages = sorted({a for a, _ in pairs})
-    x = np.full((len(pairs), TRAIN_LENGTH), 32, np.int64)
+    x = np.zeros((len(pairs), TRAIN_LENGTH), np.int64)
     for i, (_, b) in enumerate(pairs):
         x[i, : len(b)] = np.frombuffer(b[:TRAIN_LENGTH], np.uint8)
     network = Network(languages)
-    network.train(x, np.array([languages.index(a) for a, _ in pairs]))
+    network.train(x, np.array([min(len(b), TRAIN_LENGTH) for _, b in pairs]), np.array([languages.index(a) for a, _ in pairs]))
     return network
 
 
 def label(docs: DataFrame, network: Network | None, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` (default: doc_id) of docs, with lang_pred and score."""
-    rows = docs.select(*(keep or ["doc_id"]), docs["text"].cast("string").alias("_read_text"))
+    carried, added = carry(docs, keep or ["doc_id"], ["lang_pred", "score"])
+    rows = docs.select(*[docs[c].alias(a) for a, c in carried.items()], docs["text"].cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("_read_text")
-            buf, offsets = B.buffer(batch.column(at))
-            languages, scores = [], [np.zeros(0)]
-            for lo, hi in B.chunks(offsets):
-                part, cuts = B.chunked(buf, offsets, lo, hi)
-                ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[part])])
-                letters = ascii_letters[cuts[1:]] > ascii_letters[cuts[:-1]]
-                for i in np.flatnonzero(~letters & (cuts[1:] > cuts[:-1])):
-                    letters[i] = any(map(str.isalpha, part[cuts[i] : cuts[i + 1]].tobytes().decode("utf-8", "replace")))
-                if network is None:
-                    languages += ["und"] * (hi - lo)
-                    scores.append(np.zeros(hi - lo))
-                    continue
-                p = network.read(part, cuts)
-                best = p.argmax(1)
-                languages += [network.languages[k] if fine else "und" for k, fine in zip(best.tolist(), letters.tolist(), strict=True)]
-                scores.append(np.where(letters, np.clip(p[np.arange(hi - lo), best], 0, 1), 0.0))
-            columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            names = [x for x in batch.schema.names if x != "_read_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(languages, pa.string()), pa.array(np.concatenate(scores))], names=[*names, "lang_pred", "score"])
-
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_read_text"]
-    return rows.mapInArrow(run, ", ".join([*kept, "lang_pred string", "score double"]))
+            buf, offsets = B.buffer(batch.column(batch.num_columns - 1))
+            n = batch.num_rows
+            p = network.read(buf, offsets) if network else np.zeros((n, 1))
+            ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[buf])])
+            letters = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
+            for i in np.flatnonzero(~letters & (offsets[1:] > offsets[:-1])):
+                letters[i] = any(map(str.isalpha, buf[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
+            letters &= network is not None
+            best = p.argmax(1)
+            languages = [network.languages[k] if fine else "und" for k, fine in zip(best.tolist(), letters.tolist(), strict=True)]
+            scores = np.where(letters, np.clip(p[np.arange(n), best], 0, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(languages, pa.string()), pa.array(scores)], names=[*carried, "_lang", "_score"])
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
+    found = rows.mapInArrow(run, ", ".join([*kept, "_lang string", "_score double"]))
+    return found.select(*[F.col(a).alias(c) for a, c in carried.items()], F.col("_lang").alias(added[0]), F.col("_score").alias(added[1]))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,18 +279,43 @@ def test_held_out_languages(spark):
     assert all(r.held_out == (crc(r.doc_id, 3) == 1) for r in found)
 
 
-def test_windows_match_training_states():
+def plain_gru(network, text, side):
+    """States of one direction at each byte, by the definition, one byte at a time."""
+    p = {k: v.astype(float) for k, v in network.p.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    h, out = np.zeros(network.hidden), []
+    for b in text if side == "f" else text[::-1]:
+        r, z = (sigmoid(p[f"{side}{g}x"][b] + h @ p[f"{side}{g}h"]) for g in "rz")
+        c = np.tanh(p[f"{side}nx"][b] + r * (h @ p[f"{side}nh"]))
+        h = (1 - z) * h + z * c
+        out.append(h)
+    return np.array(out if side == "f" else out[::-1])
+
+
+def plain_labels(network, text):
+    logits = np.concatenate([plain_gru(network, text, "f"), plain_gru(network, text, "b")], 1) @ network.p["out"] + network.p["bias"]
+    return (np.exp(logits) / np.exp(logits).sum(1, keepdims=True)).mean(0)
+
+
+def test_reading_equals_a_plain_network_over_whole_texts():
     random = np.random.default_rng(0)
     network = op09_language_id.Network(["a", "b", "c"])
-    x = random.integers(0, 256, (20, 3))
-    forward, _ = network._forward("f", x)
-    backward, _ = network._forward("b", x)
-    logits = np.concatenate([forward, backward], 2) @ network.p["out"] + network.p["bias"]
-    wanted = np.exp(logits) / np.exp(logits).sum(2, keepdims=True)
-    for t, p in network.positions(x):
-        assert p == pytest.approx(wanted[t], abs=1e-5)
-    buf = x.T.astype(np.uint8).ravel()
-    assert network.read(buf, np.array([0, 20, 20, 40, 60])) == pytest.approx(np.array([wanted[:, 0].mean(0), np.zeros(3), wanted[:, 1].mean(0), wanted[:, 2].mean(0)]), abs=1e-5)
+    texts = [random.integers(0, 256, n).astype(np.uint8) for n in (20, 0, 700, 1, 20, 333, 64, 129)]
+    buf, offsets = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    wanted = np.array([plain_labels(network, t) if len(t) else np.zeros(3) for t in texts])
+    for cells, long in ((1 << 19, 4096), (400, 4096), (400, 100), (64, 20), (3, 0)):  # all together, in several blocks, and in pieces
+        assert network.read(buf, offsets, cells, long) == pytest.approx(wanted, abs=1e-5)
+    forward, _ = network._forward("f", np.stack([texts[0], texts[4]], 1).astype(int))
+    assert forward[:, 1] == pytest.approx(plain_gru(network, texts[4], "f"), abs=1e-5)
+
+
+def test_language_query_equals_a_plain_network(spark):
+    frame = spark.read.parquet(f"{SMALL}/documents.parquet")
+    network = op09_language_id.train(frame)
+    found = {r.doc_id: r for r in op09_language_id.op9_language_id(spark, SMALL).collect()}
+    for r in sorted(frame.collect(), key=lambda r: len(r.text or ""))[::17]:
+        p = plain_labels(network, np.frombuffer(r.text.encode(), np.uint8))
+        assert found[r.doc_id].score == pytest.approx(p.max(), abs=1e-4) and found[r.doc_id].lang_pred == network.languages[p.argmax()]
 
 
 def test_gradients_match_differences():
@@ -299,15 +324,15 @@ def test_gradients_match_differences():
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
     x = random.integers(0, 256, (6, 4))
     slopes = random.normal(size=(6, 4, 3))
-    for side in "fb":
-        states, trail = network._forward(side, x)
+    for side, inside in (("f", None), ("b", None), ("b", (np.arange(6)[:, None] < [6, 4, 6, 5]).astype(float))):
+        states, trail = network._forward(side, x, inside)
         g = {k: np.zeros_like(v) for k, v in network.p.items()}
         network._backward(side, x, slopes, trail, g)
         for name, at in ((f"{side}rh", (0, 1)), (f"{side}zh", (2, 0)), (f"{side}nh", (1, 1)), (f"{side}nx", (x[2, 1], 2)), (f"{side}zx", (x[3, 0], 0))):
             values = []
             for step in (1e-3, -1e-3):
                 network.p[name][at] += step
-                values.append((network._forward(side, x)[0].astype(np.float64) * slopes).sum())
+                values.append((network._forward(side, x, inside)[0].astype(np.float64) * slopes).sum())
                 network.p[name][at] -= step
             assert (values[0] - values[1]) / 2e-3 == pytest.approx(g[name][at], rel=2e-2, abs=2e-3)
 
@@ -319,6 +344,8 @@ def test_language_edges(spark):
     by = {r.doc_id: r for r in found if r.doc_id is not None}
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (0, 1, 2, 5, 7)) and by[4].lang_pred == "en"
     assert {r.lang_pred for r in op09_language_id.label(awkward(spark), None).collect()} == {"und"}
+    wide = awkward(spark).withColumn("lang_pred", F.lit(5)).withColumn("_text", F.lit("x"))
+    assert {r.doc_id: (r.lang_pred, r["_text"]) for r in op09_language_id.label(wide, network, keep=wide.columns).collect() if r.doc_id == 4} == {4: ("en", "x")}
     assert op09_language_id.train(docs(spark, [])) is None and op09_language_id.label(docs(spark, []), network).count() == 0
 
 
