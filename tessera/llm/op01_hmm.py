@@ -8,9 +8,9 @@ than ASCII white space, ASCII letters lowered, followed by one end token.  Words
 * Symbols.  The model emits a symbol: one of the commonest words (at most `MAX_OWN`), the end, or one of `BUCKETS` hash
   buckets of all other words.  A word of a bucket then follows with its smoothed share of the bucket's tokens, so the
   model is a proper distribution over words of any vocabulary.
-* States.  Baum-Welch: each pass runs scaled forward-backward recursions over all training tokens (in runs of at most
-  `RUN` symbols), sums expected counts by symbol within a task, then across partitions; a bounded table (symbols by
-  states) comes back to the driver for the next pass.
+* States.  Baum-Welch: each pass runs scaled forward-backward recursions over all training tokens, each text whole from
+  its first token to its end, sums expected counts by symbol within a task, then across partitions; a bounded table
+  (symbols by states) comes back to the driver for the next pass.
 * Scores.  The scaled forward recursion gives the exact likelihood of every whole text.  Counts of the commonest words
   (at most `MAX_KNOWN`) are broadcast; the other words of each text are joined with the table of counts.
 
@@ -22,6 +22,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from tessera.llm.shared import stored
 
 STATES = 6
 PASSES = 4
-RUN = 256
+CELLS = 1 << 18  # positions of texts whose states are kept together in training
 MAX_OWN = 1 << 14
 MAX_KNOWN = 1 << 18
 BUCKETS = 1 << 12
@@ -223,52 +224,62 @@ class Model:
         out[order] = total
         return out
 
-    def expected(self, symbols: np.ndarray, offsets: np.ndarray, counts: list[np.ndarray]) -> None:
-        """Adds expected starts, moves and emissions of sequences (cut into runs) to counts."""
+    def expected(self, symbols: np.ndarray, offsets: np.ndarray, counts: list[np.ndarray], cells: int = CELLS) -> None:
+        """Adds expected starts, moves and emissions of whole sequences to counts.
+
+        Sequences of like length advance together; of a longest one above `cells` forward states are kept at the ends of
+        pieces only, and made again piece by piece on the way back.
+        """
         length = np.diff(offsets)
-        per = -(-length // RUN)
-        of = np.repeat(np.arange(len(length)), per)
-        begin = offsets[of] + (np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)) * RUN
-        size = np.minimum(RUN, offsets[of + 1] - begin)
-        order = np.argsort(-size, kind="stable")
+        order = np.argsort(-length, kind="stable")
+        order = order[length[order] > 0]
         emit, move = self.emit.astype(np.float32), self.move.astype(np.float32)
         emit = np.concatenate([emit, np.ones((1, emit.shape[1]), np.float32)])
-        k, pad = len(self.start), len(self.emit)
-        for lo in range(0, len(order), 1024):
-            block = order[lo : lo + 1024]
-            steps, n = int(size[block[0]]), len(block)
-            at = np.arange(steps)[:, None]
-            x = np.where(at < size[block], symbols[np.minimum(begin[block] + at, len(symbols) - 1)], pad)
-            seen = emit[x]
-            alpha, scale = np.empty((steps, n, k), np.float32), np.empty((steps, n, 1), np.float32)
-            now = self.start.astype(np.float32) * seen[0]
-            for t in range(steps):
-                if t:
-                    now = (now @ move) * seen[t]
-                scale[t] = now.sum(1, keepdims=True)
-                now = now / scale[t]
-                alpha[t] = now
-            seen /= scale
-            beta = np.ones((n, k), np.float32)
-            back = move.T.copy()
-            moves = np.zeros((k, k), np.float32)
-            inside = size[block]
-            for t in range(steps - 1, 0, -1):
-                ahead = seen[t] * beta
-                if t >= inside[-1]:
-                    ahead *= (t < inside)[:, None]
-                    moves += alpha[t - 1].T @ ahead
-                    ahead = np.where((t < inside)[:, None], ahead, 0)
-                    beta = np.where((t < inside)[:, None], ahead @ back, 1).astype(np.float32)
-                else:
-                    moves += alpha[t - 1].T @ ahead
-                    beta = ahead @ back
-                alpha[t - 1] *= beta
-            counts[1] += moves * move
-            counts[0] += alpha[0].sum(0)
-            flat = x.ravel()
-            for s in range(k):
-                counts[2][:, s] += np.bincount(flat, alpha[:, :, s].ravel(), pad + 1)[:pad]
+        back, start, k, pad = move.T.copy(), self.start.astype(np.float32), len(self.start), len(self.emit)
+        moves = np.zeros((k, k), np.float64)
+        lo = 0
+        while lo < len(order):
+            block = order[lo : lo + max(1, cells // int(length[order[lo]]))]
+            lo += len(block)
+            begin, size = offsets[block], length[block]
+            active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right").tolist()
+            pieces = [(a, min(a + cells, int(size[0]))) for a in range(0, int(size[0]), cells)]
+
+            def forward(a: int, b: int, now: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """Symbols, emissions over scale, and scaled forward states of positions a to b - 1, after the states before a."""
+                at = np.arange(a, b)[:, None]
+                x = np.where(at < size[: active[a]], symbols[np.minimum(begin[: active[a]] + at, len(symbols) - 1)], pad)  # noqa: B023
+                seen = emit[x]
+                alpha = np.zeros_like(seen)
+                for t in range(b - a):
+                    m = active[a + t]  # noqa: B023
+                    now = start * seen[t, :m] if now is None else (now[:m] @ move) * seen[t, :m]
+                    scale = now.sum(1, keepdims=True)
+                    now /= scale
+                    seen[t, :m] /= scale
+                    alpha[t, :m] = now
+                return x, seen, alpha
+
+            ends: list[np.ndarray | None] = [None]
+            for a, b in pieces[:-1]:
+                ends.append(forward(a, b, ends[-1])[2][-1])
+            beta = np.ones((len(block), k), np.float32)
+            for (a, b), before in zip(pieces[::-1], ends[::-1], strict=True):
+                x, seen, alpha = forward(a, b, before)
+                for t in range(b - a - 1, -1, -1):
+                    m = active[a + t]
+                    ahead = seen[t, :m] * beta[:m]
+                    alpha[t, :m] *= beta[:m]
+                    if t or before is not None:
+                        prior = alpha[t - 1, :m] if t else before[:m]
+                        moves += prior.T @ ahead
+                        beta[:m] = ahead @ back
+                if before is None:
+                    counts[0] += alpha[0].sum(0)
+                flat = x.ravel()
+                for s in range(k):
+                    counts[2][:, s] += np.bincount(flat, alpha[:, :, s].ravel(), pad + 1)[:pad]
+        counts[1] += moves * move
 
 
 def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray) -> Model:
@@ -304,19 +315,33 @@ def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray) -> Model:
     return Model.estimated(start, move, emit, unigram)
 
 
-def score(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+class Fitted(NamedTuple):
+    """What training gives: the vocabulary and the model, the table of counts (key, c) and every row of docs as symbols."""
+
+    vocabulary: Vocabulary
+    model: Model
+    counts: DataFrame
+    encoded: DataFrame
+
+
+def fit(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> Fitted:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 10, 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     counts, _ = stored(rows.where(~F.col("held_out")).select("text").mapInArrow(_count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "hmm-counts")
     vocabulary = Vocabulary(counts)
     shared = spark.sparkContext.broadcast(vocabulary)
     encoded, _ = stored(rows.mapInArrow(lambda it: _encode(shared, it), _ENCODED).withColumn("row", F.monotonically_increasing_id()), "hmm-encoded")
-
     model = Model.initial(vocabulary.unigram, states)
     if vocabulary.n_tokens:
         for _ in range(passes):
             model = baum_welch(encoded, model, vocabulary.unigram)
+    return Fitted(vocabulary, model, counts, encoded)
+
+
+def score(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+    spark = docs.sparkSession
+    vocabulary, model, counts, encoded = fit(docs, states, passes)
     final = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -53,8 +53,6 @@ def test_forward_recursion_equals_the_sum_over_all_paths():
     symbols = np.array([s for q in sequences for s in q], np.int32)
     offsets = np.concatenate([[0], np.cumsum([len(q) for q in sequences])])
     found = model.log10(symbols, offsets)
-    from itertools import product
-
     for q, value in zip(sequences, found, strict=True):
         total = 0.0
         for path in product(range(3), repeat=len(q)):
@@ -81,6 +79,61 @@ def test_baum_welch_counts_equal_the_posteriors_and_raise_likelihood():
     assert model.log10(symbols, offsets).sum() > before
 
 
+def test_expected_counts_of_whole_texts_equal_the_sum_over_all_paths():
+    random = np.random.default_rng(2)
+    norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+    model = op01_hmm.Model(norm(random.random(2), 0), norm(random.random((2, 2)), 1), norm(random.random((4, 2)), 0))
+    sequences = [[0, 1, 3, 2, 2, 0, 1], [2], [], [3, 3, 1, 0, 2], [1, 1, 1]]
+    wanted = [np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))]
+    for q in filter(None, sequences):
+        paths = list(product(range(2), repeat=len(q)))
+        chance = [math.prod((model.start[s] if t == 0 else model.move[path[t - 1], s]) * model.emit[q[t], s] for t, s in enumerate(path)) for path in paths]
+        for path, p in zip(paths, np.array(chance) / sum(chance), strict=True):
+            wanted[0][path[0]] += p
+            for t, s in enumerate(path):
+                wanted[2][q[t], s] += p
+                if t:
+                    wanted[1][path[t - 1], s] += p
+    symbols = np.array([s for q in sequences for s in q], np.int32)
+    offsets = np.cumsum([0, *map(len, sequences)])
+    for cells in (1 << 18, 12, 3, 1):  # in one block, in several, in pieces
+        counts = [np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))]
+        model.expected(symbols, offsets, counts, cells)
+        for found, expected in zip(counts, wanted, strict=True):
+            assert found == pytest.approx(expected, rel=1e-4)
+
+
+def test_scores_equal_brute_force(spark):
+    """The forward recursion in plain floats over words, with the fitted chances."""
+    frame = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = frame.select("doc_id", "text").collect()
+    counts = Counter(w for r in rows if crc(r.doc_id, 10) for w in tokens(r.text))
+    fitted = op01_hmm.fit(frame)
+    v, model = fitted.vocabulary, fitted.model
+    key = lambda w: op01_hmm._END if w == b"\x00end" else int(op01_hmm._tokens(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0])
+    symbol = {w: int(v.read(np.array([key(w)]))[0][0]) for w in {w for r in rows for w in tokens(r.text)}}
+    inside = {}
+    for w, c in counts.items():
+        if v.n_own <= symbol[w] < v.end:
+            total, types = inside.get(symbol[w], (0, 0))
+            inside[symbol[w]] = total + c, types + 1
+
+    def expected(text):
+        now, out = model.start, 0.0
+        for t, w in enumerate(tokens(text)):
+            total, types = inside.get(symbol[w], (0, 0))
+            share = (counts[w] + 0.1) / (total + 0.1 * (types + 1)) if v.n_own <= symbol[w] < v.end else 1.0
+            now = (now @ model.move if t else now) * model.emit[symbol[w]] * share
+            out += math.log10(now.sum())
+            now = now / now.sum()
+        return out
+
+    found = {r.doc_id: r.score for r in op01_hmm.op1_hmm(spark, SMALL).collect()}
+    assert len(found) == len(rows)
+    for r in rows[::5]:
+        assert found[r.doc_id] == pytest.approx(expected(r.text), rel=1e-6)
+
+
 def test_scores_sum_to_one_over_words(spark):
     """The chance of a word given the model: own symbols and buckets are shares of one distribution."""
     frame = docs(spark, [prose(i, 200) for i in range(12)])
