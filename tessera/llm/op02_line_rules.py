@@ -11,8 +11,8 @@ frequent.  Those are counted by distinct documents and joined back, salted by ro
 task.
 
 Defined cases: a null text has no words, fails the base rules and has no lines; a null host is a host of its own;
-lines without a word are never counted; rows that repeat a doc_id count as one document in line
-counts, and each keeps its own statistics; extra columns are ignored.
+lines without a word are never counted; rows that repeat a doc_id count as one document in line counts, rows with a null
+doc_id as one each, and every row keeps its own statistics; texts of any length are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -190,7 +190,7 @@ def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_
     scanned, _ = stored(scanned.withColumn("row", F.monotonically_increasing_id()), "line-rules")
 
     held = scanned.select("row", "doc_id", F.explode("lines").alias("l")).select("row", "doc_id", "l.line", "l.w")
-    removed = held.groupBy("line").agg(F.count_distinct("doc_id").alias("n_docs")).where(F.col("n_docs") > max_docs).select("line")
+    removed = held.groupBy("line").agg(F.count_distinct(F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")))).alias("n_docs")).where(F.col("n_docs") > max_docs).select("line")
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     lost = (
         held.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
@@ -212,22 +212,22 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_LINE = """trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')"""
 _SQL_WORD = r"'[^\x20\x09-\x0D]+'"
 ORACLE_SQL = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(text, {_SQL_WORD}) AS ws, text FROM d),
-p AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
-often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM p) WHERE n > 1),
-cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM often, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
-lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
-filled AS (SELECT doc_id, source, line, {_SQL_LINE} AS norm, len(regexp_extract_all(line, {_SQL_WORD})) AS n FROM lines WHERE regexp_matches(line, {_SQL_WORD})),
-dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n FROM filled GROUP BY ALL) GROUP BY doc_id),
-frequent AS (SELECT source, norm FROM filled GROUP BY source, norm HAVING count(DISTINCT doc_id) > {MAX_DOCS}),
-lost AS (SELECT doc_id, sum(n) AS n FROM filled f WHERE EXISTS (SELECT 1 FROM frequent q WHERE q.norm = f.norm AND q.source IS NOT DISTINCT FROM f.source) GROUP BY doc_id),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, regexp_extract_all(text, {_SQL_WORD}) AS ws, text FROM d),
+p AS (SELECT r, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+often AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM p) WHERE n > 1),
+cover AS (SELECT r, count(DISTINCT i + k) AS n FROM often, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+lines AS (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+filled AS (SELECT r, doc_id, source, line, {_SQL_LINE} AS norm, len(regexp_extract_all(line, {_SQL_WORD})) AS n FROM lines WHERE regexp_matches(line, {_SQL_WORD})),
+dup AS (SELECT r, sum(n - 1) AS n FROM (SELECT r, line, count(*) AS n FROM filled GROUP BY ALL) GROUP BY r),
+frequent AS (SELECT source, norm FROM filled GROUP BY source, norm HAVING count(DISTINCT doc_id) + count(DISTINCT CASE WHEN doc_id IS NULL THEN r END) > {MAX_DOCS}),
+lost AS (SELECT r, sum(n) AS n FROM filled f WHERE EXISTS (SELECT 1 FROM frequent q WHERE q.norm = f.norm AND q.source IS NOT DISTINCT FROM f.source) GROUP BY r),
 s AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
     CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words,
     CAST(coalesce(lost.n, 0) AS BIGINT) AS n_lost_words
-  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cover USING (doc_id) LEFT JOIN lost USING (doc_id)),
+  FROM w LEFT JOIN dup USING (r) LEFT JOIN cover USING (r) LEFT JOIN lost USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND n_lost_words <= {MAX_LOST} * n_words AS kept, n_lost_words

@@ -311,37 +311,48 @@ def _gathered(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in spans.columns if c != "doc"])).alias("spans"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the window starts to remove (null: none): the bytes that stay."""
-    for batch in batches:
-        texts = batch.schema.get_field_index("text")
-        spans_at = batch.schema.get_field_index("spans")
-        buf, offsets = B.buffer(batch.column(texts))
-        lists = batch.column(spans_at)
-        names = [x for x in batch.schema.names if x not in ("text", "spans")]
-        for lo, hi in B.chunks(offsets):
-            part, cuts = B.chunked(buf, offsets, lo, hi)
-            held = lists.slice(lo, hi - lo).fill_null([])
-            spans, of = held.flatten(), np.repeat(np.arange(hi - lo), np.diff(held.offsets.to_numpy()))
-            edge = np.zeros(len(part) + 1, np.int32)
-            np.add.at(edge, spans.field(0).to_numpy() + cuts[of], 1)
-            np.add.at(edge, spans.field(1).to_numpy() + cuts[of] + LENGTH, -1)
-            gone = np.cumsum(edge)[: len(part)] > 0
-            starts, _ = B.runs(gone, cuts[1:-1])
-            n_spans = np.bincount(B.owner(starts, cuts), minlength=hi - lo)
-            before = np.concatenate([[0], np.cumsum(gone)])
-            n_removed = before[cuts[1:]] - before[cuts[:-1]]
-            left = part[~gone].tobytes()
-            at = cuts - before[cuts]
-            kept = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(left)]).cast(pa.binary())
-            rows = batch.slice(lo, hi - lo)
-            own = [rows.column(rows.schema.get_field_index(x)) for x in names]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(cuts)), pa.array(n_removed), pa.array(n_spans), kept], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def remove_repeats(docs: DataFrame, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+def _cut(whole_characters: bool):  # noqa: ANN202
+    """Reads texts with the window starts to remove (null: none); gives the bytes that stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.schema.get_field_index("text")
+            spans_at = batch.schema.get_field_index("spans")
+            buf, offsets = B.buffer(batch.column(texts))
+            lists = batch.column(spans_at)
+            names = [x for x in batch.schema.names if x not in ("text", "spans")]
+            for lo, hi in B.chunks(offsets):
+                part, cuts = B.chunked(buf, offsets, lo, hi)
+                held = lists.slice(lo, hi - lo).fill_null([])
+                spans, of = held.flatten(), np.repeat(np.arange(hi - lo), np.diff(held.offsets.to_numpy()))
+                edge = np.zeros(len(part) + 1, np.int32)
+                np.add.at(edge, spans.field(0).to_numpy() + cuts[of], 1)
+                np.add.at(edge, spans.field(1).to_numpy() + cuts[of] + LENGTH, -1)
+                gone = np.cumsum(edge)[: len(part)] > 0
+                starts, _ = B.runs(gone, cuts[1:-1])
+                n_spans = np.bincount(B.owner(starts, cuts), minlength=hi - lo)
+                before = np.concatenate([[0], np.cumsum(gone)])
+                n_removed = before[cuts[1:]] - before[cuts[:-1]]
+                if whole_characters and len(part):
+                    lead = (part & 0xC0) != 0x80
+                    lead[cuts[:-1][np.diff(cuts) > 0]] = True
+                    character = np.cumsum(lead) - 1
+                    gone = (np.bincount(character, gone) > 0)[character]
+                    before = np.concatenate([[0], np.cumsum(gone)])
+                left = part[~gone].tobytes()
+                at = cuts - before[cuts]
+                kept = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(left)]).cast(pa.binary())
+                rows = batch.slice(lo, hi - lo)
+                own = [rows.column(rows.schema.get_field_index(x)) for x in names]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(cuts)), pa.array(n_removed), pa.array(n_spans), kept], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, keep: list[str] | None = None, prefix: str = "", whole_characters: bool = False) -> DataFrame:
     """Columns `keep` (default: doc_id) of docs, with n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary), named with a prefix.
 
+    With whole_characters, kept also leaves out the rest of characters that a removed run cuts, so that it is text again.
     docs needs doc_id and text.  A kept column that has the name of an added one is replaced by it.
     """
     made = ["n_bytes", "n_removed", "n_spans", "kept"]
@@ -368,7 +379,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, prefix: str =
     whole = _passing(rows.select(*names), table, wanted=False).select(
         *carried, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept")
     )
-    return cut.mapInArrow(_cut, kept).unionByName(whole).select(*[F.col(a).alias(c) for a, c in carried.items()], *[F.col(x).alias(y) for x, y in zip(made, added, strict=True)])
+    return cut.mapInArrow(_cut(whole_characters), kept).unionByName(whole).select(*[F.col(a).alias(c) for a, c in carried.items()], *[F.col(x).alias(y) for x, y in zip(made, added, strict=True)])
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,11 +122,22 @@ def test_near_duplicate_edges(spark):
 
 
 def test_a_sieve_only_lets_more_through(spark):
-    table = sieve.build(spark.range(-50, 50).select((F.col("id") * 7919).alias("k")), "k", 12).value
-    assert sieve.passes(table, np.arange(-50, 50) * 7919).all()
+    keys = spark.range(-50, 50).select((F.col("id") * 7919).alias("k"))
+    for most in (7, 27):
+        table = sieve.build(keys, "k", most).value
+        assert sieve.passes(table, np.arange(-50, 50) * 7919).all() and len(table) == (2 if most == 7 else 1024)
     assert not sieve.passes(table, np.arange(10**6, 10**6 + 1000)).all()
 
 
+def test_rows_without_keys(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") % 100 == 7, None).otherwise(F.col("id")).alias("id"), F.lit("x").alias("_key0"), F.lit([1]).alias("_bits0"))
+    gone = spark.range(0, 1000, 3).select(F.xxhash64("id").alias("gone"))
+    found = sieve.without(rows, F.when(F.col("id").isNotNull(), F.xxhash64("id")), gone)
+    assert found.columns == rows.columns
+    assert Counter(r.id for r in found.collect()) == Counter([i for i in range(1000) if i % 3 and i % 100 != 7] + [None] * 10)
+    assert sieve.without(rows, F.xxhash64("id"), gone.limit(0)).count() == 1000
+
+
 # -- op4
 
 
@@ -184,6 +195,16 @@ def test_a_sentence_in_a_third_of_the_texts(spark, monkeypatch, hot):
     assert dealt.groupBy("key").count().agg(F.max("count")).first()[0] < 60 < dealt.count() / 200
 
 
+def test_whole_characters_stay(spark):
+    shared = "né " * 60
+    texts = ["aé" + shared, "yĩ" + shared, "é\ufffd" + shared + "\ufffdé", shared[1:] + "ü\ufffd", "\ufffd only"]
+    found = {r.doc_id: r for r in op04_suffix_dedup.remove_repeats(docs(spark, texts), whole_characters=True).collect()}
+    plain = {r.doc_id: r for r in op04_suffix_dedup.remove_repeats(docs(spark, texts)).collect()}
+    for i, r in found.items():
+        assert r.kept.decode() == plain[i].kept.decode("utf-8", "ignore") and r.n_removed == plain[i].n_removed
+    assert found[4].kept.decode() == texts[4] and found[1].kept.decode() == "y" and "\ufffd" in found[2].kept.decode() and any(p.kept.decode("utf-8", "replace") != p.kept.decode("utf-8", "ignore") for p in plain.values())
+
+
 def test_byte_passes_order_suffixes_by_their_bytes():
     random_bytes = np.random.default_rng(3)
     buf = np.concatenate([random_bytes.integers(0, 2, 3000), np.tile(random_bytes.integers(0, 256, 130), 5)]).astype(np.uint8)
@@ -421,3 +442,18 @@ def test_pipeline_stands_awkward_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null and repeated ids: copies go, other texts stay, and leaks go whatever their id."""
+    import corpus_pipeline
+
+    texts = {k: prose(700 + k, 60, 4000) for k in range(8)}
+    leak = prose(3, 30, 4000)
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (4, texts[2]), (4, texts[2]), (4, texts[3]), (5, texts[3]), (6, None), (6, None), (None, leak), (7, texts[4] + " " + leak), (7, texts[5]), (8, texts[6] + " \ufffd")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    pairs = lambda f: sorted(((r.doc_id, r.text) for r in f.collect()), key=str)
+    single = corpus_pipeline.near_duplicates(spark, frame, str(tmp_path))
+    assert pairs(single) == sorted([(None, texts[0]), (None, texts[1]), (4, texts[2]), (4, texts[3]), *rows[7:]], key=str)
+    assert pairs(corpus_pipeline.decontamination(spark, frame, str(tmp_path))) == sorted((r for r in rows if leak not in (r[1] or "")), key=str)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from itertools import combinations, product
 
+import duckdb
 import numpy as np
 import pytest
 from compare import SMALL, connect, same
@@ -188,6 +189,16 @@ def test_line_rule_edges(spark):
     assert op02_line_rules.line_rules(docs(spark, [])).count() == 0
 
 
+def test_line_rules_of_null_and_repeated_ids_equal_sql(spark):
+    line = "shared line of words"
+    rows = [(None, f"{prose(i, 60)}\n{line}", "s") for i in range(25)] + [(3, f"{prose(90, 70)}\nother line here", "t")] * 30 + [(4, None, "t"), (5, f"{line}\n" * 3000, "s"), (6, "", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    con = duckdb.connect()
+    con.register("documents", frame.toArrow())
+    same(op02_line_rules.line_rules(frame), con, op02_line_rules.ORACLE_SQL)
+    assert Counter(r.n_lost_words for r in op02_line_rules.line_rules(frame).collect()) == {4: 25, 0: 32, 12000: 1}
+
+
 # -- op6
 
 
