@@ -84,15 +84,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], .
     runs = sorted({run_length(n, share) for n in sizes})
     wanted = [F.lit(True)] * len(masks) + [F.size("t").isin([n for n in sizes if run_length(n, share) == k]) for k in runs]
     masks = (*masks, *(tuple(range(k)) for k in runs))
-    seeds = _seeds(items, masks, wanted).select("seed", "of_item", F.col("pos").alias("item_pos"))
+    seeds = _seeds(items, masks, wanted).select("seed", "of_item", F.col("pos").alias("item_pos"), F.size("t").alias("n_item"))
     if seeds.limit(max_seeds + 1).count() <= max_seeds:
         seeds = F.broadcast(seeds)
     placed = _seeds(texts.select("of_row", tokens(F.col("text")).alias("t")), masks).select("of_row", "pos", "seed")
-    hits, _ = stored(placed.join(seeds, "seed").select("of_row", "of_item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct(), "leak-hits")
+    hits, _ = stored(placed.join(seeds, "seed").select("of_row", "of_item", "n_item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct(), "leak-hits")
     held = texts.join(hits.select("of_row").distinct(), "of_row", "left_semi").select("doc_id", "of_row", tokens(F.col("text")).alias("t"))
-    part = F.slice("t", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("item"))
-    known = items.select("item_id", "of_item", F.col("t").alias("item"))
-    return _verified(hits.join(known, "of_item").join(held, "of_row").select("doc_id", "item_id", "diagonal", "item", part.alias("part")), window, share)
+    part = F.slice("t", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("n_item"))
+    parts = hits.join(held, "of_row").select("doc_id", "of_item", "diagonal", part.alias("part"))
+    return _verified(parts.join(items.select("item_id", "of_item", F.col("t").alias("item")), "of_item"), window, share)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
