@@ -1,44 +1,56 @@
-"""The append-only log: dense indexes by shard, scans, truncation and checks."""
+"""The append-only log: dense indexes by shard, strict reads, truncation and checks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import ranked, runs
+from tessera.operators.table import bounded
 
-def append(batch: DataFrame, last: DataFrame, order: Column, term: int = 1) -> DataFrame:
-    """Log rows for a batch: indexes go on from each shard's last one (last: shard, last_idx), in the given order.
 
-    A window by shard makes the indexes dense; there is one writer, and shards bound a task.
+def append(batch: DataFrame, last: DataFrame, order: str, term: int = 1) -> DataFrame:
+    """Log rows for a batch: indexes go on from each shard's last one (last: shard, last_idx), in the order of a numeric column."""
+    known = ranked(batch, ["shard"], order).join(bounded(last), "shard", "left")
+    return known.withColumn("idx", F.coalesce("last_idx", F.lit(0)).cast("long") + F.col("place")).withColumn("term", F.lit(term).cast("long")).drop("last_idx", "place")
+
+
+def gaps(log: DataFrame, first: int | None = None) -> DataFrame:
+    """shard, expected, actual where an index does not follow the one before.
+
+    A log may begin anywhere (a prefix may have been truncated), unless `first` names the index it has to begin at.
     """
-    place = F.row_number().over(Window.partitionBy("shard").orderBy(order))
-    known = batch.join(F.broadcast(last) if last.limit(10_001).count() <= 10_000 else last, "shard", "left")
-    return known.withColumn("idx", F.coalesce("last_idx", F.lit(0)).cast("long") + place).withColumn("term", F.lit(term).cast("long")).drop("last_idx")
+    before = F.lag("last").over(Window.partitionBy("shard").orderBy("first"))
+    expected = before + 1 if first is None else F.coalesce(before + 1, F.lit(first))
+    return runs(log).withColumn("expected", expected.cast("long")).where(F.col("first") != F.col("expected")).select("shard", "expected", F.col("first").alias("actual"))
 
 
-def gaps(log: DataFrame) -> DataFrame:
-    """shard, expected, actual where an index does not follow the one before (the first is 1)."""
-    expected = F.coalesce(F.lag("idx").over(Window.partitionBy("shard").orderBy("idx")), F.lit(0)) + 1
-    return log.withColumn("expected", expected).where(F.col("idx") != F.col("expected")).select("shard", F.col("expected").cast("long"), F.col("idx").alias("actual"))
+def contiguous(log: DataFrame, start: int | None = None) -> DataFrame:
+    """The entries of each shard from its first index (or from start, if it has that entry) up to its first hole."""
+    if start is None:
+        kept = runs(log).where(F.col("n") == 1)
+    else:
+        log = log.where(F.col("idx") >= start)
+        kept = runs(log).where(F.col("first") == start)
+    return log.join(bounded(kept.select("shard", F.col("last").alias("_last"))), "shard").where(F.col("idx") <= F.col("_last")).drop("_last")
 
 
 def read_from(log: DataFrame, start: int) -> DataFrame:
+    """The entries of each shard from start on, up to the first hole; a shard without the entry at start gives none."""
     if start < 0:
         raise ValueError("start is negative")
-    return log.where(F.col("idx") >= start)
+    return contiguous(log, start)
 
 
 def scan(log: DataFrame, start: int, size: int) -> DataFrame:
-    """At most size entries of each shard, from start on."""
+    """At most size entries of each shard from start on, up to the first hole, with their place from 1.
+
+    Only these entries, `size` for a shard at most, are ordered.
+    """
     if start < 0 or size <= 0:
         raise ValueError("start is negative or size not positive")
-    return log.where(F.col("idx").between(start, start + size - 1))
-
-
-def contiguous(log: DataFrame) -> DataFrame:
-    """The entries of each shard before its first hole (index minus rank is constant up to there)."""
     place = F.row_number().over(Window.partitionBy("shard").orderBy("idx"))
-    return log.withColumn("_shift", F.col("idx") - place).where(F.col("_shift") == 0).drop("_shift")
+    return log.where(F.col("idx").between(start, start + size - 1)).withColumn("place", place.cast("long")).where(F.col("idx") - F.col("place") == start - 1)
 
 
 def point(log: DataFrame, shards: DataFrame, index: int) -> DataFrame:
@@ -49,9 +61,13 @@ def point(log: DataFrame, shards: DataFrame, index: int) -> DataFrame:
     )
 
 
-def last(log: DataFrame, *values: str) -> DataFrame:
-    """The entry with the greatest index of every shard."""
-    return log.groupBy("shard").agg(F.max("idx").alias("idx"), *[F.max_by(v, "idx").alias(v) for v in values])
+def last(log: DataFrame, *values: str, shards: DataFrame | None = None) -> DataFrame:
+    """The entry with the greatest index of every shard; of a shard (of those given) without entries index 0, term 0 and no command."""
+    found = log.groupBy("shard").agg(F.max("idx").alias("idx"), *[F.max_by(v, "idx").alias(v) for v in values])
+    if shards is None:
+        return found
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("idx", "term")}
+    return shards.select("shard").distinct().join(found, "shard", "left").select("shard", *[zero.get(c, F.col(c)) for c in ("idx", *values)])
 
 
 def truncate_prefix(log: DataFrame, index: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.model import ADDRESS
+from tessera.operators.ranking import ranked
 from tessera.operators.table import last_write
 
 
@@ -22,8 +23,9 @@ def replay(snapshot: DataFrame, tail: DataFrame) -> DataFrame:
 
 
 def flush_marks(log: DataFrame, every: int) -> DataFrame:
-    """The recovery point of each shard: the last index of its last full group of `every` entries (0: none)."""
-    return log.groupBy("shard").agg((F.floor(F.count(F.lit(1)) / every) * every).cast("long").alias("n_flushed"), F.max("idx").alias("last_idx"))
+    """shard, mark and last_idx: the mark is the index of the last entry of the last full group of `every` entries (0: none)."""
+    full = F.when(F.col("place") % every == 0, F.col("idx"))
+    return ranked(log, ["shard"], "idx").groupBy("shard").agg(F.coalesce(F.max(full), F.lit(0).cast("long")).alias("mark"), F.max("idx").alias("last_idx"))
 
 
 def weight(key_bytes: Column, value_bytes: Column) -> Column:
@@ -39,10 +41,8 @@ def least_recent(accesses: DataFrame, budget: int, size: Column, by: list[str])
 
 
 def most_recent(accesses: DataFrame, capacity: int, by: list[str]) -> DataFrame:
-    """The entries of each shard that a cache of `capacity` entries holds after all accesses."""
-    entries = accesses.groupBy("shard", *by).agg(F.max("idx").alias("last_access"))
-    place = F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("last_access"), *by))
-    return entries.withColumn("place", place.cast("long")).where(F.col("place") <= capacity)
+    """The entries of each shard that a cache of `capacity` entries holds after all accesses (their indexes are distinct)."""
+    return ranked(accesses.groupBy("shard", *by).agg(F.max("idx").alias("last_access")), ["shard"], "last_access", descending=True, most=capacity)
 
 
 def unexpired(entries: DataFrame, now: Column, since: Column, seconds: int) -> DataFrame:
@@ -52,8 +52,7 @@ def unexpired(entries: DataFrame, now: Column, since: Column, seconds: int) -> D
 
 def ring_tail(log: DataFrame, size: int) -> DataFrame:
     """What a ring of `size` slots holds of each shard: the last size - 1 entries."""
-    place = F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("idx")))
-    return log.withColumn("_place", place).where(F.col("_place") <= size - 1).drop("_place")
+    return ranked(log, ["shard"], "idx", descending=True, most=size - 1).drop("place")
 
 
 def changes(log: DataFrame) -> DataFrame:

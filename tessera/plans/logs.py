@@ -17,12 +17,45 @@ _MARK = 5
 def log_append(spark: SparkSession, d: str) -> DataFrame:
     events = X.evlog(spark, d)
     last = events.select("shard").distinct().withColumn("last_idx", F.lit(100).cast("long"))
-    return log.append(events.withColumnRenamed("idx", "at"), last, F.col("at"), term=3).select("shard", "idx", "term", "key", "col")
+    return log.append(events.withColumnRenamed("idx", "at"), last, "at", term=3).select("shard", "idx", "term", "key", "col")
 
 
 @query(f"WITH {X.CLOG}, g AS (SELECT shard, coalesce(lag(idx) OVER (PARTITION BY shard ORDER BY idx), 0) + 1 AS expected, idx AS actual FROM gaplog) SELECT * FROM g WHERE expected <> actual")
 def log_gap_check(spark: SparkSession, d: str) -> DataFrame:
-    return log.gaps(X.clog(spark, d, gaps=True))
+    return log.gaps(X.clog(spark, d, gaps=True), first=1)
+
+
+@query(f"WITH {X.CLOG}, g AS (SELECT shard, lag(idx) OVER (PARTITION BY shard ORDER BY idx) + 1 AS expected, idx AS actual FROM gaplog WHERE idx > 1) SELECT * FROM g WHERE expected <> actual")
+def log_gap_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """A truncated prefix is no hole."""
+    return log.gaps(log.truncate_prefix(X.clog(spark, d, gaps=True), 1))
+
+
+@query(f"WITH {X.CLOG}, c AS (SELECT shard, idx, role, idx - row_number() OVER (PARTITION BY shard ORDER BY idx) AS shift, min(idx) OVER (PARTITION BY shard) AS low FROM gaplog WHERE idx > 1) SELECT shard, idx, role FROM c WHERE shift = low - 1")
+def log_contiguous_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """The prefix before the first hole of logs that begin at 2."""
+    return log.contiguous(log.truncate_prefix(X.clog(spark, d, gaps=True), 1)).select("shard", "idx", "role")
+
+
+@query(f"WITH {X.CLOG}, c AS (SELECT shard, idx, role, row_number() OVER (PARTITION BY shard ORDER BY idx) AS place FROM gaplog WHERE idx BETWEEN 2 AND 5) SELECT shard, idx, role, place FROM c WHERE idx - place = 1")
+def log_scan_holes(spark: SparkSession, d: str) -> DataFrame:
+    """Scans end at the first hole."""
+    return log.scan(X.clog(spark, d, gaps=True), 2, 4).select("shard", "idx", "role", "place")
+
+
+@query(f"WITH {X.EVLOG}, s AS (SELECT shard, idx AS at, 50 + row_number() OVER (PARTITION BY shard ORDER BY idx) AS idx FROM evlog), r AS (SELECT * FROM s WHERE idx > 60 AND idx <> 70) SELECT shard, min(idx) AS first_ok, max(idx) AS last_ok, count(*) AS n_ok FROM r WHERE idx < 70 GROUP BY shard")
+def log_strict_read(spark: SparkSession, d: str) -> DataFrame:
+    """Reads of a long log from 61 on, in which 70 is missing."""
+    events = X.evlog(spark, d)
+    entries = log.append(events.withColumnRenamed("idx", "at"), events.select("shard", F.lit(50).cast("long").alias("last_idx")).distinct(), "at")
+    return log.read_from(entries.where(F.col("idx") != 70), 61).groupBy("shard").agg(F.min("idx").alias("first_ok"), F.max("idx").alias("last_ok"), F.count(F.lit(1)).alias("n_ok"))
+
+
+@query(f"WITH {X.CLOG} SELECT s.shard, coalesce(max(c.idx), 0) AS idx, coalesce(arg_max(c.term, c.idx), 0) AS term, arg_max(c.role, c.idx) AS role FROM (SELECT DISTINCT shard FROM clog) s LEFT JOIN clog c ON s.shard = c.shard AND c.idx > 4 GROUP BY s.shard")
+def log_last_or_none(spark: SparkSession, d: str) -> DataFrame:
+    """Shards whose log is empty after a truncation have index 0."""
+    entries = X.clog(spark, d)
+    return log.last(log.truncate_prefix(entries, 4), "term", "role", shards=entries)
 
 
 @query(f"WITH {X.CLOG} SELECT shard, idx, role FROM clog WHERE idx >= 4")
@@ -30,9 +63,9 @@ def log_read_from(spark: SparkSession, d: str) -> DataFrame:
     return log.read_from(X.clog(spark, d), 4).select("shard", "idx", "role")
 
 
-@query(f"WITH {X.CLOG} SELECT shard, idx, role FROM clog WHERE idx BETWEEN 2 AND 4")
+@query(f"WITH {X.CLOG} SELECT shard, idx, role, idx - 1 AS place FROM clog WHERE idx BETWEEN 2 AND 4")
 def log_scan_limit(spark: SparkSession, d: str) -> DataFrame:
-    return log.scan(X.clog(spark, d), 2, 3).select("shard", "idx", "role")
+    return log.scan(X.clog(spark, d), 2, 3).select("shard", "idx", "role", "place")
 
 
 @query(f"WITH {X.CLOG} SELECT s.shard, CAST(5 AS BIGINT) AS idx, coalesce(c.term, 0) AS term, c.role, c.shard IS NOT NULL AS has_index FROM (SELECT DISTINCT shard FROM clog) s LEFT JOIN clog c ON s.shard = c.shard AND c.idx = 5")
@@ -69,7 +102,7 @@ def log_truncate_suffix(spark: SparkSession, d: str) -> DataFrame:
     return log.extent(log.truncate_suffix(X.clog(spark, d), 3))
 
 
-@query(f"WITH {X.EVLOG} SELECT shard, count(*) // {_MARK} * {_MARK} AS n_flushed, max(idx) AS last_idx FROM evlog GROUP BY shard")
+@query(f"WITH {X.EVLOG}, r AS (SELECT shard, idx, row_number() OVER (PARTITION BY shard ORDER BY idx) AS rn FROM evlog) SELECT shard, coalesce(max(idx) FILTER (rn % {_MARK} = 0), 0) AS mark, max(idx) AS last_idx FROM r GROUP BY shard")
 def wal_flush_mark(spark: SparkSession, d: str) -> DataFrame:
     return lsm.flush_marks(X.evlog(spark, d), _MARK)
 

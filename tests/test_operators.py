@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import cluster, log, lsm, replication, table
+from tessera.operators import cluster, log, lsm, ranking, replication, table
 
 ROW = "family string, key string, col string, value string"
 
@@ -55,8 +55,30 @@ def test_log_reads(spark):
 
 def test_holes_end_the_contiguous_prefix(spark):
     frame = entries(spark, (1, 1), (1, 2), (1, 4), (2, 2))
-    assert [(r.shard, r.idx) for r in log.contiguous(frame).orderBy("idx").collect()] == [(1, 1), (1, 2)]
-    assert {tuple(r) for r in log.gaps(frame).collect()} == {(1, 3, 4), (2, 1, 2)}
+    assert [(r.shard, r.idx) for r in log.contiguous(frame, start=1).orderBy("idx").collect()] == [(1, 1), (1, 2)]
+    assert {tuple(r) for r in log.gaps(frame, first=1).collect()} == {(1, 3, 4), (2, 1, 2)}
+
+
+def test_a_truncated_prefix_is_no_hole(spark):
+    frame = entries(spark, *[(1, i) for i in (3, 4, 5, 7)], (2, 9))
+    assert {(r.shard, r.idx) for r in log.contiguous(frame).collect()} == {(1, 3), (1, 4), (1, 5), (2, 9)}
+    assert [tuple(r) for r in log.gaps(frame).collect()] == [(1, 6, 7)]
+    assert [r.idx for r in log.scan(frame, 3, 10).orderBy("idx").collect()] == [3, 4, 5] and log.scan(frame, 6, 3).count() == 0
+    assert [r.idx for r in log.read_from(frame, 4).orderBy("idx").collect()] == [4, 5] and log.read_from(frame, 6).count() == 0
+    empty = log.last(frame.where("shard = 2"), "term", "role", shards=frame).orderBy("shard").collect()
+    assert [tuple(r) for r in empty] == [(1, 0, 0, None), (2, 9, 1, "r9")]
+
+
+def test_ranks_over_blocks(spark):
+    frame = spark.range(2000).select((F.col("id") % 3).alias("shard"), (F.col("id") * 7 - 900).alias("idx"))
+    rows = frame.collect()
+    wanted = {s: sorted(r.idx for r in rows if r.shard == s) for s in range(3)}
+    for block in (16, 1 << 16):
+        assert all(wanted[r.shard][r.place - 1] == r.idx for r in ranking.ranked(frame, ["shard"], "idx", block=block).collect())
+        top = ranking.ranked(frame, ["shard"], "idx", descending=True, most=5, block=block).collect()
+        assert len(top) == 15 and all(wanted[r.shard][-r.place] == r.idx for r in top)
+    marks = {r.shard: (r["mark"], r.last_idx) for r in lsm.flush_marks(frame, 100).collect()}
+    assert marks == {s: (v[len(v) // 100 * 100 - 1], v[-1]) for s, v in wanted.items()}
 
 
 def test_a_missing_index_gives_the_sentinel(spark):
@@ -69,7 +91,7 @@ def test_a_missing_index_gives_the_sentinel(spark):
 def test_append_goes_on_from_the_last_index(spark):
     batch = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "shard long, at long")
     last = spark.createDataFrame([(1, 5)], "shard long, last_idx long")
-    assert {(r.shard, r.at, r.idx) for r in log.append(batch, last, F.col("at")).collect()} == {(1, 10, 6), (1, 11, 7), (2, 12, 1)}
+    assert {(r.shard, r.at, r.idx) for r in log.append(batch, last, "at").collect()} == {(1, 10, 6), (1, 11, 7), (2, 12, 1)}
 
 
 def test_replay_after_compaction_equals_the_whole_log(spark):
