@@ -132,14 +132,14 @@ def weights(texts: DataFrame, spark: SparkSession) -> DataFrame:
 
 def units(files: DataFrame) -> DataFrame:
     """Statements to compare: of_row, n_words (of the file), kind (0 whole text, 1 paragraph, 2 line), place and terms."""
-    cued = files.where(F.col("text").rlike(CUE)).select("of_row", F.size(_terms(F.col("text"))).alias("n_words"), "text")
-    lines = cued.select("of_row", "n_words", F.lit(2).alias("kind"), F.posexplode(F.split("text", "\n")).alias("place", "content"))
-    split = cued.withColumn("parts", F.split("text", _BLANK))
-    paragraphs = split.select("of_row", "n_words", F.lit(1).alias("kind"), F.posexplode("parts").alias("place", "content")).where(F.trim("content").contains("\n"))
-    whole = split.where(F.size("parts") > 1).select("of_row", "n_words", F.lit(0).alias("kind"), F.lit(0).alias("place"), F.col("text").alias("content"))
-    large = paragraphs.unionByName(whole).where(F.col("content").rlike(CUE)).withColumn("terms", _terms(F.col("content")))
-    like = large.where(2 * F.size(F.array_intersect("terms", F.lit(VOCABULARY))) >= F.size(F.array_distinct("terms")))
-    return lines.where(F.col("content").rlike(CUE)).withColumn("terms", _terms(F.col("content"))).unionByName(like).drop("content")
+    unit = lambda kind, place, content: F.struct(F.lit(kind).alias("kind"), place.cast("int").alias("place"), content.alias("content"))
+    cued = files.where(F.col("text").rlike(CUE)).withColumn("parts", F.split("text", _BLANK))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: unit(2, i, x))
+    paragraphs = F.transform("parts", lambda x, i: unit(1, i, x))
+    whole = F.filter(F.array(unit(0, F.lit(0), F.col("text"))), lambda x: F.size("parts") > 1)
+    each = cued.select("of_row", F.size(_terms(F.col("text"))).alias("n_words"), F.explode(F.concat(lines, paragraphs, whole)).alias("u")).select("of_row", "n_words", "u.*")
+    said = each.where(F.col("content").rlike(CUE) & ((F.col("kind") != 1) | F.trim("content").contains("\n"))).withColumn("terms", _terms(F.col("content"))).drop("content")
+    return said.where((F.col("kind") == 2) | (2 * F.size(F.array_intersect("terms", F.lit(VOCABULARY))) >= F.size(F.array_distinct("terms"))))
 
 
 def statements(files: DataFrame) -> DataFrame:
