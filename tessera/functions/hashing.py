@@ -1,7 +1,7 @@
 """JVM-compatible string and byte hashes as Catalyst expressions.
 
-Wrapping 32-bit arithmetic is done in longs modulo 2**32.  The string hash folds code points, so characters beyond
-U+FFFF (two UTF-16 units on the JVM) hash differently; keys are expected in the basic plane.
+Wrapping 32-bit arithmetic is done in longs modulo 2**32.  The string hash folds UTF-16 units, as on the JVM: a character
+beyond U+FFFF is two of them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,12 @@ def signed(unsigned: Column) -> Column:
 
 
 def _string_word(text: Column) -> Column:
-    return _fold(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long")), 0)
+    def step(h: Column, x: Column) -> Column:
+        high, low = 0xD800 + F.shiftright(x - 0x10000, 10), 0xDC00 + x.bitwiseAND(0x3FF)
+        return F.pmod(F.when(x > 0xFFFF, F.pmod(h * 31 + high, F.lit(_WORD)) * 31 + low).otherwise(h * 31 + x), F.lit(_WORD))
+
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(points, F.lit(0).cast("long"), step)
 
 
 def string_hash(text: Column) -> Column:
@@ -56,9 +61,9 @@ def memory_shard(family: Column, key: Column, shards: int) -> Column:
 
 def string_hash_literal(text: str) -> int:
     """The string hash of a Python literal, to inject shard predicates that prune partitions."""
-    h = 0
-    for c in text:
-        h = (h * 31 + ord(c)) % _WORD
+    h, units = 0, text.encode("utf-16-be")
+    for at in range(0, len(units), 2):
+        h = (h * 31 + int.from_bytes(units[at : at + 2])) % _WORD
     return h - _WORD if h >= _WORD // 2 else h
 
 

@@ -14,8 +14,12 @@ _TRP = ["table", "replica", "partition"]
 def place(catalog: DataFrame, nodes: DataFrame) -> DataFrame:
     """node (by rank) of every replica r of partition p: (r * partitions + p) modulo the nodes; replica 0 leads.
 
-    Each catalog row explodes into its own replicas and partitions; nodes are ranked once.
+    Each catalog row explodes into its own replicas and partitions; nodes are ranked once.  More replicas than nodes are
+    an error, as two of them would share a node.
     """
+    most = catalog.agg(F.max("replications")).first()[0]
+    if most is not None and nodes.limit(most).count() < most:
+        raise ValueError("a table has more replications than there are nodes")
     ranked = nodes.withColumn("slot", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("node")) - 1)
     total = nodes.agg(F.count(F.lit(1)).alias("n_nodes"))
     exploded = (

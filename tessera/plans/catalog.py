@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import cells, control, logs, registry, routes, streams  # noqa: F401  (they register their queries)
+from tessera.plans import cells, control, logs, registry, routes, stores, streams  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import codec, hashing
+from tessera.functions.bloom import KeyFilter
 from tessera.operators import metrics, table
 from tessera.plans import fixtures as X
 from tessera.plans.registry import query
@@ -96,18 +97,24 @@ def wide_row(spark: SparkSession, d: str) -> DataFrame:
     return table.wide(X.ocell(spark, d), ["status", "priority", "custkey"]).drop("family")
 
 
-@query()
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
+
+
+@query(f"""WITH {X.EVLOG}, t AS (SELECT {_CRC_TABLE} AS crc_table), b AS (SELECT batch_id, string_agg(key || col || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), '' ORDER BY idx) AS s FROM evlog GROUP BY batch_id)
+SELECT batch_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(s, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda c, x: xor(c >> 8, crc_table[(xor(c, x) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS crc FROM b, t""")
 def batch_crc(spark: SparkSession, d: str) -> DataFrame:
-    """CRC-32 over keys and columns of each batch, in log order."""
-    entries = F.array_sort(F.collect_list(F.struct("idx", F.concat("key", "col").alias("text"))))
+    """CRC-32 over keys, columns and values (in hundredths) of each batch, in log order."""
+    entries = F.array_sort(F.collect_list(F.struct("idx", F.concat("key", "col", F.round(F.col("value") * 100).cast("long").cast("string")).alias("text"))))
     rows = X.evlog(spark, d).groupBy("batch_id").agg(entries.alias("entries"))
     return rows.select("batch_id", F.crc32(F.encode(F.array_join(F.transform("entries", lambda e: e["text"]), ""), "UTF-8")).alias("crc"))
 
 
 @query(f"WITH {X.OCELL}, {X.KEYS} SELECT DISTINCT key FROM ocell WHERE key IN (SELECT key FROM keys)")
 def bloom_semi(spark: SparkSession, d: str) -> DataFrame:
-    """Keys that may be in a list by a Bloom filter of it, then checked: no key of the list is lost."""
-    return X.ocell(spark, d).select("key").distinct().join(table.bounded(X.keys(spark, d).select("key")), "key", "left_semi")
+    """Keys that may be in a list by a Bloom filter of it, asked in the scan's stage, then checked: no key of the list is lost."""
+    asked = X.keys(spark, d).select("key")
+    likely = KeyFilter(asked, "key", expected=10_000).passing(X.ocell(spark, d).select("key"), "key")
+    return likely.distinct().join(asked, "key", "left_semi")
 
 
 @query("SELECT n, p, CAST(trunc(-n * ln(p) / (ln(2) * ln(2))) AS BIGINT) AS m, CAST(greatest(1, round(trunc(-n * ln(p) / (ln(2) * ln(2))) / n * ln(2))) AS BIGINT) AS k FROM (SELECT CAST(unnest([1000, 1000000, 5000000]) AS BIGINT) AS n), (SELECT unnest([0.01::DOUBLE, 0.001::DOUBLE]) AS p)")

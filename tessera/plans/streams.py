@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans import fixtures as X
 from tessera.plans.cells import _LIVE
 from tessera.plans.registry import query
+from tessera.sources.shared import shared
 from tessera.streaming import ingest
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names; a temporary one where none is named."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="tessera-")
-
-
 @query(_LIVE)
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The event log written through micro-batches, then applied: the same cells as the batch path."""
-    base = _shared(spark)
+    base = shared(spark, "stream")
     X.evlog(spark, d).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
     ingest.append_batches(stream, f"{base}/log", f"{base}/state").awaitTermination()

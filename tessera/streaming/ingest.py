@@ -40,14 +40,14 @@ class LastWrite(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "idx long, op string, value double", self.ttl_ms)
+        self.newest = handle.getValueState("newest", "idx long, op string, value string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         best = self.newest.get() if self.newest.exists() else None
         for part in rows:
             top = part.loc[part["idx"].idxmax()]
             if best is None or top["idx"] > best[0]:
-                best = (int(top["idx"]), str(top["op"]), float(top["value"]))
+                best = (int(top["idx"]), str(top["op"]), None if pd.isna(top["value"]) else str(top["value"]))
         if best is not None:
             self.newest.update(best)
             yield pd.DataFrame({"family": [key[0]], "key": [key[1]], "col": [key[2]], "idx": [best[0]], "op": [best[1]], "value": [best[2]]})
@@ -57,7 +57,7 @@ class LastWrite(StatefulProcessor):
 
 
 def stateful(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Newest command of each address after each micro-batch, from keyed state (RocksDB state store)."""
-    return stream.groupBy(*ADDRESS).transformWithStateInPandas(
-        statefulProcessor=LastWrite(ttl_ms), outputStructType="family string, key string, col string, idx long, op string, value double", outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None"
+    """Newest command of each address after each micro-batch, from keyed state (RocksDB state store); values are strings, perhaps null."""
+    return stream.withColumn("value", F.col("value").cast("string")).groupBy(*ADDRESS).transformWithStateInPandas(
+        statefulProcessor=LastWrite(ttl_ms), outputStructType="family string, key string, col string, idx long, op string, value string", outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None"
     )

@@ -37,5 +37,5 @@ def test_batch_crc_matches_zlib(spark):
     found = {r.batch_id: r.crc for r in QUERIES["batch_crc"](spark, SMALL).collect()}
     texts = defaultdict(list)
     for r in fixtures.evlog(spark, SMALL).orderBy("idx").collect():
-        texts[r.batch_id].append(r.key + r.col)
+        texts[r.batch_id].append(f"{r.key}{r.col}{round(r.value * 100)}")
     assert found == {b: zlib.crc32("".join(t).encode()) for b, t in texts.items()}

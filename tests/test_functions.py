@@ -69,3 +69,18 @@ def test_bloom_filter_never_misses_a_key(spark):
     found.add("key1")
     other = KeyFilter(spark.createDataFrame([("业务",), (None,)], "k string"), "k", 20_000, 0.01)
     assert found.might_contain("key1") and found.merge(other).might_contain("业务")
+    frame = spark.createDataFrame([("17",), ("业务",), ("other1",), (None,)], "k string")
+    assert {r.k for r in found.passing(frame, "k").collect()} >= {"17", "业务"} and found.passing(frame.where("k IS NULL"), "k").count() == 0
+    assert [r.k for r in found.passing(frame, "k").collect() if not found.might_contain(r.k)] == []
+
+
+def test_string_hash_folds_utf16_units(spark):
+    def jvm(text):
+        units, h = text.encode("utf-16-be"), 0
+        for at in range(0, len(units), 2):
+            h = (31 * h + int.from_bytes(units[at : at + 2])) % 2**32
+        return h - 2**32 if h >= 2**31 else h
+
+    for text in ("", "key1", "业务", "a\U0001f600b", "\U0010ffff\U00010000"):
+        expected = spark._jvm.java.lang.String(text).hashCode() if text else 0
+        assert one(spark, hashing.string_hash(F.lit(text))) == hashing.string_hash_literal(text) == jvm(text) == expected

@@ -108,6 +108,8 @@ def test_placement_repeats_nodes_when_partitions_are_a_multiple_of_them(spark):
     placed = cluster.place(catalog, nodes)
     assert placed.count() == 8 and cluster.colocated(placed).count() == 4
     assert {r.n_leaders for r in cluster.skew(placed).collect()} == {2}
+    with pytest.raises(ValueError):
+        cluster.place(catalog.withColumn("replications", F.lit(3)), nodes)
 
 
 def test_migration_steps(spark):
