@@ -4,13 +4,16 @@ A revisit record holds the headers of a 304 answer and no body.  It is resolved
 to the latest full response with an earlier time; its validators (entity tag, else last-modified, else payload digest)
 are checked against that response, and of its headers those that a 304 answer may update replace the response's.
 
-Plan: the join never brings all captures of one URL together.  Time is cut into blocks; within a (URL, block) a running
-maximum finds the latest earlier response, and a second, much smaller window over one row for each (URL, block) carries
-the last response of earlier blocks.  Bodies are not moved: the result names the response, and `with_payload` joins.
+Plan: the join never brings all captures of one URL together.  Time is cut into blocks of `block` units, these into blocks
+of `block` blocks, and so on for `LEVELS` levels.  Within a (URL, block) a running maximum finds the latest earlier
+response; what earlier blocks have is carried in from one row for each (URL, block), found in the same way one level up.
+So above the captures no window has more than `block` rows, whatever the unit of time, but for the top one, which has a
+row for each block**LEVELS units.  Bodies are not moved: the result names the response, and `with_payload` joins.
 
 Defined cases: null URLs or times are never resolved (`no_response`); a response at the same time is not earlier; of
 several responses at one time the greatest record_id counts; null headers count as empty; a revisit without validators
-is `unvalidated` and still resolved; repeated rows repeat; extra columns are ignored; empty tables give no rows.
+is `unvalidated` and still resolved; repeated rows repeat; headers of any length and number are merged; extra columns are
+ignored, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1_000
+LEVELS = 3
 #: Headers of a 304 answer that update a stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that do not change a page.
@@ -40,7 +44,27 @@ def _bare(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
+def _carried(wanted: DataFrame, latest: DataFrame, block: int, levels: int) -> DataFrame:
+    """url_key, block and carried (the greatest latest response of earlier blocks) for the wanted (url_key, block) pairs.
+
+    latest: url_key, block, latest.
+    """
+    both = wanted.join(latest, ["url_key", "block"], "full_outer")
+    if levels == 1:
+        before = Window.partitionBy("url_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        return both.withColumn("carried", F.max("latest").over(before)).select("url_key", "block", "carried")
+    parent = F.floor(F.col("block") / block)
+    before = Window.partitionBy("url_key", "parent").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = both.withColumn("parent", parent).withColumn("inside", F.max("latest").over(before)).drop("latest")
+    up = _carried(
+        wanted.select("url_key", parent.alias("block")).distinct(),
+        latest.groupBy("url_key", parent.alias("block")).agg(F.max("latest").alias("latest")), block, levels - 1,
+    )
+    joined = inside.join(up.select("url_key", F.col("block").alias("parent"), "carried"), ["url_key", "parent"], "left")
+    return joined.select("url_key", "block", F.coalesce("inside", "carried").alias("carried"))
+
+
+def resolve(records: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
     """One row for each revisit: record_id, url_key, target_id, verdict, headers (map) and payload_digest.
 
     records: record_id long, url, ts long, kind ('response' or 'revisit'), etag, last_modified, digest (strings) and
@@ -53,19 +77,15 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
         F.coalesce("headers", none).alias("headers"),
     )
     fields = ["ts", "record_id", "etag", "last_modified", "digest", F.map_entries("headers").alias("headers")]
-    response = F.when((F.col("kind") == "response") & F.col("ts").isNotNull() & F.col("url_key").isNotNull(), F.struct(*fields))
-    rows = held.withColumn("response", response)
+    placed = F.col("ts").isNotNull() & F.col("url_key").isNotNull()
+    rows = held.where(placed).withColumn("response", F.when(F.col("kind") == "response", F.struct(*fields)))
     blocks = rows.where(F.col("response").isNotNull()).groupBy("url_key", "block").agg(F.max("response").alias("latest"))
-    wanted = rows.where((F.col("kind") == "revisit") & F.col("url_key").isNotNull() & F.col("ts").isNotNull()).select("url_key", "block").distinct()
-    before = Window.partitionBy("url_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        wanted.join(blocks, ["url_key", "block"], "full_outer")
-        .withColumn("carried", F.max("latest").over(before))
-        .select("url_key", "block", "carried")
-    )
+    wanted = rows.where(F.col("kind") == "revisit").select("url_key", "block").distinct()
+    carried = _carried(wanted, blocks, block, levels)
     within = Window.partitionBy("url_key", "block").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     revisits = rows.withColumn("inside", F.max("response").over(within)).where(F.col("kind") == "revisit").drop("response")
     joined = revisits.join(carried, ["url_key", "block"], "left").withColumn("r", F.coalesce("inside", "carried"))
+    lost = held.where(~placed & (F.col("kind") == "revisit"))
     same = (
         F.when(F.col("etag").isNotNull() & F.col("r.etag").isNotNull(), _bare(F.col("etag")) == _bare(F.col("r.etag")))
         .when(F.col("last_modified").isNotNull() & F.col("r.last_modified").isNotNull(), F.col("last_modified") == F.col("r.last_modified"))
@@ -76,9 +96,11 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     names = F.transform(F.map_keys(update), F.lower)
     stored = F.map_filter(F.map_from_entries("r.headers"), lambda k, _: ~F.array_contains(names, F.lower(k)))
     fine = verdict.isin("resolved", "unvalidated")
-    return joined.select(
+    unresolved = lost.select("record_id", "url_key", F.lit(None).cast("long").alias("target_id"), F.lit("no_response").alias("verdict"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("string").alias("payload_digest"))
+    found = joined.select(
         "record_id", "url_key", F.col("r.record_id").alias("target_id"), verdict.alias("verdict"), F.when(fine, F.map_concat(stored, update)).alias("headers"), F.when(fine, F.col("r.digest")).alias("payload_digest")
     )
+    return found.unionByName(unresolved)
 
 
 def with_payload(resolved: DataFrame, payloads: DataFrame) -> DataFrame:

@@ -260,6 +260,27 @@ def test_revisits_take_the_latest_earlier_response(spark):
     assert op05_revisits.resolve(spark.createDataFrame([], CAPTURE)).count() == 0
 
 
+def test_revisits_equal_brute_force_in_any_unit_of_time(spark):
+    pick, rows = random.Random(5), []
+    for i in range(600):
+        url = pick.choice([None, "http://a.org/x", "http://a.org/y", "https://www.A.org/x/", "http://b.org/"])
+        ts = pick.choice([None, pick.randrange(3000), pick.randrange(3000), pick.randrange(3000)])
+        big = {f"h{k}": "v" * 3000 for k in range(20)} if i % 100 == 0 else {"Etag": f"e{i}", "x": "1"}
+        rows.append((i, url, ts, pick.choice(["response", "revisit", "request"]), None, None, None, pick.choice([None, big])))
+    rows += rows[:40]
+    key = {None: None, "http://a.org/x": "a.org/x", "http://a.org/y": "a.org/y", "https://www.A.org/x/": "a.org/x", "http://b.org/": "b.org"}
+    expected = Counter()
+    for r in rows:
+        if r[3] == "revisit":
+            earlier = [(o[2], o[0]) for o in rows if o[3] == "response" and key[o[1]] == key[r[1]] is not None and o[2] is not None and r[2] is not None and o[2] < r[2]]
+            expected[r[0], max(earlier)[1] if earlier else None] += 1
+    for factor, block in ((1, 10), (1000, 1000), (10**9, 1000), (1, 10**6)):
+        frame = spark.createDataFrame([(*r[:2], r[2] if r[2] is None else r[2] * factor, *r[3:], 1, "x") for r in rows], CAPTURE + ", block int, response string")
+        found = op05_revisits.resolve(frame, block=block).collect()
+        assert Counter((r.record_id, r.target_id) for r in found) == expected
+        assert all(r.verdict == ("no_response" if r.target_id is None else "unvalidated") for r in found)
+
+
 def test_hot_address_in_many_blocks(spark):
     rows = spark.range(3000).select(F.col("id").alias("record_id"), F.lit("http://hot/").alias("url"), (F.col("id") * 7).alias("ts"), F.when(F.col("id") % 50 == 0, "response").otherwise("revisit").alias("kind"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"), F.create_map().cast("map<string,string>").alias("headers"))
     found = op05_revisits.resolve(rows, block=100).collect()
