@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.model import ADDRESS
-from tessera.operators.ranking import ranked
+from tessera.operators.ranking import ranked, running
 from tessera.operators.table import last_write
 
 
@@ -34,10 +34,10 @@ def weight(key_bytes: Column, value_bytes: Column) -> Column:
 
 
 def least_recent(accesses: DataFrame, budget: int, size: Column, by: list[str]) -> DataFrame:
-    """Entries of each shard by last access, newest first, with their running size and whether they fit the budget."""
+    """Entries of each shard by last access (their indexes are distinct), newest first, with their running size and whether they fit the budget."""
     entries = accesses.groupBy("shard", *by).agg(F.max("idx").alias("last_access"), F.max(size).alias("bytes"))
-    running = F.sum("bytes").over(Window.partitionBy("shard").orderBy(F.desc("last_access"), *by).rowsBetween(Window.unboundedPreceding, 0))
-    return entries.withColumn("running", running.cast("long")).withColumn("kept", F.col("running") <= budget)
+    summed = running(entries, ["shard"], "last_access", "bytes", "running", descending=True)
+    return summed.withColumn("running", F.col("running").cast("long")).withColumn("kept", F.col("running") <= budget)
 
 
 def most_recent(accesses: DataFrame, capacity: int, by: list[str]) -> DataFrame:

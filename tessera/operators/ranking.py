@@ -36,3 +36,14 @@ def runs(log: DataFrame) -> DataFrame:
     ends = ids.join(ids.select("shard", (F.col("idx") - 1).alias("idx")), ["shard", "idx"], "left_anti")
     n = F.row_number().over(Window.partitionBy("shard").orderBy("idx"))
     return begins.select("shard", F.col("idx").alias("first"), n.alias("n")).join(ends.select("shard", F.col("idx").alias("last"), n.alias("n")), ["shard", "n"])
+
+
+def running(frame: DataFrame, by: list[str], order: str, value: str, name: str, how: str = "sum", descending: bool = False, block: int = BLOCK) -> DataFrame:
+    """frame with the running sum (or max) of a column in each group, in a numeric order of distinct values; by blocks as in `ranked`."""
+    fold = {"sum": F.sum, "max": F.max}[how]
+    cut, turn = F.floor(F.col(order) / block), F.desc if descending else F.asc
+    before = fold("_t").over(Window.partitionBy(*by).orderBy(turn("_block")).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = frame.groupBy(*by, cut.alias("_block")).agg(fold(value).alias("_t")).withColumn("_before", before).drop("_t")
+    inside = fold(value).over(Window.partitionBy(*by, "_block").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.coalesce("_before", F.lit(0)) + inside if how == "sum" else F.greatest("_before", inside)
+    return frame.withColumn("_block", cut).join(blocks, [*by, "_block"]).withColumn(name, total).drop("_block", "_before")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import running
+
 
 def next_batch(followers: DataFrame, log: DataFrame, interval: int) -> DataFrame:
     """Entries to send to each follower: from `next` on, at most interval of them; none if it has all."""
@@ -38,9 +40,8 @@ def interval(last: Column, following: Column, committed: Column, current: Column
 
 
 def monotone(acks: DataFrame) -> DataFrame:
-    """Commit index that a follower holds after each message: it never falls."""
-    running = F.max("commit").over(Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return acks.withColumn("committed", running)
+    """Commit index that a follower holds after each message (shard, seq, commit): it never falls."""
+    return running(acks, ["shard"], "seq", "commit", "committed", how="max")
 
 
 def quorum(matches: DataFrame, members: int) -> DataFrame:

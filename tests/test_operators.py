@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,11 @@ def test_ranks_over_blocks(spark):
         assert all(wanted[r.shard][r.place - 1] == r.idx for r in ranking.ranked(frame, ["shard"], "idx", block=block).collect())
         top = ranking.ranked(frame, ["shard"], "idx", descending=True, most=5, block=block).collect()
         assert len(top) == 15 and all(wanted[r.shard][-r.place] == r.idx for r in top)
+    for block in (16, 1 << 16):
+        summed = ranking.running(frame.withColumn("v", F.col("idx") % 5), ["shard"], "idx", "v", "total", descending=True, block=block).collect()
+        best = ranking.running(frame.withColumn("v", F.col("idx") % 97), ["shard"], "idx", "v", "top", how="max", block=block).collect()
+        assert all(r.total == sum(int(math.fmod(i, 5)) for i in wanted[r.shard] if i >= r.idx) for r in summed[::37])
+        assert all(r.top == max(int(math.fmod(i, 97)) for i in wanted[r.shard] if i <= r.idx) for r in best[::37])
     marks = {r.shard: (r["mark"], r.last_idx) for r in lsm.flush_marks(frame, 100).collect()}
     assert marks == {s: (v[len(v) // 100 * 100 - 1], v[-1]) for s, v in wanted.items()}
 
