@@ -59,6 +59,11 @@ def memory_shard(family: Column, key: Column, shards: int) -> Column:
     return F.pmod(F.abs(h), F.lit(shards)).cast("int")
 
 
+def encoded_shard(encoded: Column, shards: int) -> Column:
+    """Shard of a cell by its whole encoded key, column included: the cells of a row may lie apart."""
+    return F.pmod(F.abs(bytes_hash(encoded)), F.lit(shards)).cast("int")
+
+
 def string_hash_literal(text: str) -> int:
     """The string hash of a Python literal, to inject shard predicates that prune partitions."""
     h, units = 0, text.encode("utf-16-be")

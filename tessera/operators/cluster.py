@@ -44,12 +44,38 @@ def skew(placement: DataFrame) -> DataFrame:
     return placement.groupBy("node").agg(F.count(F.lit(1)).alias("n_trps"), F.count_if("is_leader").alias("n_leaders"))
 
 
+def balance(placement: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n_trps, average (of all nodes) and ratio of the fullest node to it; nodes without replicas count as 0."""
+    counts = nodes.select("node").join(placement.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node", "left").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("n_trps"))
+    whole = counts.agg(F.avg("n_trps").alias("average"), F.max("n_trps").alias("most"))
+    return counts.crossJoin(F.broadcast(whole)).select("node", "n_trps", "average", F.when(F.col("average") > 0, F.col("most") / F.col("average")).alias("ratio"))
+
+
+def moves(placement: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Replicas to move (table, replica, partition, node, to_node) from nodes above the average, rounded up, to nodes below it, rounded down.
+
+    A move that would put two replicas of a partition on one node is left out.
+    """
+    each = balance(placement, nodes)
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("is_leader").asc(), *_TRP))
+    over = placement.withColumn("_place", place).join(each.select("node", F.ceil("average").alias("_most")), "node").where(F.col("_place") > F.col("_most"))
+    room = each.where(F.col("n_trps") < F.floor("average")).select(F.col("node").alias("to_node"), F.explode(F.sequence(F.col("n_trps") + 1, F.floor("average"))).alias("_slot"))
+    number = lambda *by: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by))
+    paired = over.withColumn("_n", number("node", "_place")).join(room.withColumn("_n", number("_slot", "to_node")), "_n")
+    return paired.join(placement.select("table", "partition", F.col("node").alias("to_node")), ["table", "partition", "to_node"], "left_anti").select(*_TRP, "node", "to_node")
+
+
 def create(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     """Catalog with the requested tables that it lacks, at version 1 and status init; a known name is left as it is."""
     fresh = requests.join(catalog.select("table"), "table", "left_anti")
     return catalog.unionByName(fresh.select("table", "partitions", "replications", F.lit(1).cast("long").alias("version"), F.lit("init").alias("status")))
 
 
+def place_created(catalog: DataFrame, requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Placement rows of the requested tables that the catalog lacks."""
+    return place(requests.join(catalog.select("table"), "table", "left_anti"), nodes)
+
+
 def drop(frame: DataFrame, requests: DataFrame) -> DataFrame:
     """Catalog or placement without the dropped tables."""
     return frame.join(requests.select("table"), "table", "left_anti")

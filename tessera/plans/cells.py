@@ -92,6 +92,13 @@ def shard_split(spark: SparkSession, d: str) -> DataFrame:
     return X.ocell(spark, d).groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {X.OCELL}, k AS (SELECT *, {_BYTES.format("'\"' || family || '#' || key || '#' || col || '\"'")} AS u FROM ocell) SELECT {SQL_SHARD} AS shard, count(*) AS n FROM k GROUP BY 1""")
+def shard_split_encoded(spark: SparkSession, d: str) -> DataFrame:
+    """Cells by shard where the whole encoded key decides."""
+    shard = hashing.encoded_shard(codec.cell_key(F.col("family"), F.col("key"), F.col("col")), X.SHARDS)
+    return X.ocell(spark, d).groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS status, o_orderpriority AS priority, CAST(o_custkey AS VARCHAR) AS custkey FROM orders")
 def wide_row(spark: SparkSession, d: str) -> DataFrame:
     return table.wide(X.ocell(spark, d), ["status", "priority", "custkey"]).drop("family")

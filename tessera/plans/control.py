@@ -29,6 +29,23 @@ def placement_skew(spark: SparkSession, d: str) -> DataFrame:
     return cluster.skew(_place(spark, d))
 
 
+@query(f"WITH {X.PLACE}, c AS (SELECT nodes.node, count(place.node) AS n_trps FROM nodes LEFT JOIN place ON nodes.node = place.node GROUP BY 1) SELECT node, n_trps, avg(n_trps) OVER () AS average, max(n_trps) OVER () / avg(n_trps) OVER () AS ratio FROM c")
+def placement_balance(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.balance(_place(spark, d), X.nodes(spark, d))
+
+
+@query(f"""WITH {X.NODES}, fresh AS (SELECT r_name AS "table", 4 + r_regionkey AS partitions, 2 AS replications FROM region)
+SELECT "table", CAST(replica AS INTEGER) AS replica, CAST(partition AS INTEGER) AS partition, node, replica = 0 AS is_leader, CAST(0 AS BIGINT) AS term
+FROM (SELECT *, unnest(range(partitions)) AS partition FROM (SELECT *, unnest(range(replications)) AS replica FROM fresh)) c
+JOIN (SELECT node, row_number() OVER (ORDER BY node) - 1 AS slot FROM nodes) n ON n.slot = (c.replica * c.partitions + c.partition) % (SELECT count(*) FROM nodes)""")
+def ddl_create_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Placement of tables that are new; one that exists is not placed again."""
+    catalog = X.catalog(spark, d)
+    fresh = X.table(spark, d, "region").select(F.col("r_name").alias("table"), (4 + F.col("r_regionkey")).cast("int").alias("partitions"), F.lit(2).alias("replications"))
+    known = catalog.where(F.col("table") == "NATION_3").select("table", F.lit(9).alias("partitions"), F.lit(2).alias("replications"))
+    return cluster.place_created(catalog, fresh.unionByName(known), X.nodes(spark, d))
+
+
 @query(f"""WITH {X.CAT} SELECT "table", partitions, replications, version, status FROM cat
 UNION ALL SELECT r_name, CAST(4 + r_regionkey AS INTEGER), CAST(2 AS INTEGER), CAST(1 AS BIGINT), 'init' FROM region""")
 def ddl_create(spark: SparkSession, d: str) -> DataFrame:

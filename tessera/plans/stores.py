@@ -10,6 +10,7 @@ from tessera.plans import fixtures as X
 from tessera.plans.registry import query
 from tessera.sources.client import TableClient
 from tessera.sources.log_store import LogStore
+from tessera.sources.metadata import MetaStore
 from tessera.sources.queue import Topic
 from tessera.sources.shared import shared
 from tessera.sources.store import CellStore, move_shards
@@ -72,6 +73,18 @@ def proxy_get(spark: SparkSession, d: str) -> DataFrame:
     return client.get_many(X.keys(spark, d).select("ord", F.lit("o").alias("family"), "key", F.lit("status").alias("col"))).select("ord", "key", "value", "found")
 
 
+@query("SELECT n_name AS name, 'v' || (n_nationkey + 1) AS record FROM nation WHERE n_name LIKE 'NATION_1%' AND n_nationkey <> 12")
+def meta_list(spark: SparkSession, d: str) -> DataFrame:
+    """Catalog records that were saved twice, one of them removed, listed by a prefix."""
+    store = MetaStore(spark, shared(spark, "meta"))
+    nations = X.table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("n"))
+    for k in range(2):
+        store.save("table", nations.select("name", F.concat(F.lit("v"), (F.col("n") + k).cast("string")).alias("record")))
+    store.save("node", nations.select("name", F.lit("other").alias("record")))
+    store.remove("table", nations.where("n = 12"))
+    return store.list("table", "NATION_1")
+
+
 def _cut_log(spark: SparkSession, d: str) -> LogStore:
     store = LogStore(spark, shared(spark, "log"))
     store.append(X.clog(spark, d).withColumnRenamed("role", "command"), "idx")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,18 +19,25 @@ def latest(stream: DataFrame) -> DataFrame:
     return last_write(stream, F.col("idx"), "op", "value", "idx")
 
 
-def append_batches(stream: DataFrame, path: str, checkpoint: str, listener=None) -> StreamingQuery:  # noqa: ANN001
+def append_batches(stream: DataFrame, path: str, checkpoint: str, listener: Callable[[int, DataFrame], None] | None = None, every: str | None = None) -> StreamingQuery:
     """Append a stream to a log by micro-batches.  Each batch has a folder of its own, so a batch that runs again replaces itself.
 
-    listener, if given, is called with (batch_id, rows) after the batch is written.
+    listener, if given, is called with (batch_id, entries) after the batch is written; entries is a frame of what was
+    written.  every: time between batches, such as "10 seconds"; without it, what is there now is taken and the query ends.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/batch={batch_id}")
         if listener is not None:
-            listener(batch_id, batch.sparkSession.read.parquet(f"{path}/batch={batch_id}").count())
+            listener(batch_id, batch.sparkSession.read.parquet(f"{path}/batch={batch_id}"))
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def node_states(heartbeats: DataFrame) -> DataFrame:
+    """Newest report of every node of a stream of heartbeats (node, seq, trps: what it serves), in update or complete mode."""
+    return heartbeats.groupBy("node").agg(F.max("seq").alias("seq"), F.max_by("trps", "seq").alias("trps"), F.count(F.lit(1)).alias("n_reports"))
 
 
 class LastWrite(StatefulProcessor):

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,11 @@ def test_placement_repeats_nodes_when_partitions_are_a_multiple_of_them(spark):
     placed = cluster.place(catalog, nodes)
     assert placed.count() == 8 and cluster.colocated(placed).count() == 4
     assert {r.n_leaders for r in cluster.skew(placed).collect()} == {2}
+    more = nodes.unionByName(spark.createDataFrame([(3, "c"), (4, "d")], "node long, endpoint string"))
+    assert {(r.node, r.n_trps) for r in cluster.balance(placed, more).collect()} == {(1, 4), (2, 4), (3, 0), (4, 0)} and cluster.balance(placed, more).first().ratio == 2
+    moved = cluster.moves(placed, more).collect()
+    assert Counter(r.node for r in moved) == {1: 2, 2: 2} and Counter(r.to_node for r in moved) == {3: 2, 4: 2}
+    assert cluster.moves(placed, nodes).count() == 0
     with pytest.raises(ValueError):
         cluster.place(catalog.withColumn("replications", F.lit(3)), nodes)
 

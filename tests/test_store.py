@@ -112,7 +112,7 @@ def _stream(spark, path):
 
 def test_micro_batches_and_listener(spark, tmp_path):
     heard = []
-    query = ingest.append_batches(_stream(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "state"), lambda i, n: heard.append(n))
+    query = ingest.append_batches(_stream(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "state"), lambda i, entries: heard.append(entries.count()))
     query.awaitTermination()
     assert sum(heard) == 9
     applied = ingest.latest(spark.read.parquet(str(tmp_path / "log")))
@@ -161,3 +161,19 @@ def test_clients_route_and_groups_commit(spark, tmp_path):
     assert {r.body for r in first.collect()} | {r.body for r in rest.collect()} == {f"m{i}" for i in range(9)} and rest.count() == 5 and topic.poll("h", 100).count() == 9
     by_key = {k: [r.body for r in sorted(topic.poll("h", 100).collect(), key=lambda r: r.offset) if r.key == k] for k in ("k0", "k1", "k2")}
     assert all(v == sorted(v) for v in by_key.values())
+
+
+def test_periodic_batches(spark, tmp_path):
+    query = ingest.append_batches(_stream(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "state"), every="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 9
+
+
+def test_heartbeats_become_node_states(spark, tmp_path):
+    beats = [(1, 1, ["a"]), (1, 2, ["a", "b"]), (2, 1, [])]
+    spark.createDataFrame(beats, "node long, seq long, trps array<string>").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    query = ingest.node_states(stream).writeStream.outputMode("complete").format("memory").queryName("states").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.awaitTermination()
+    assert {r.node: (r.seq, r.trps, r.n_reports) for r in spark.table("states").collect()} == {1: (2, ["a", "b"], 2), 2: (1, [], 1)}
