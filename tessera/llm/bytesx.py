@@ -6,12 +6,13 @@ lines, shingles or windows costs a few numpy passes over the bytes and no Python
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18  # bytes of texts worked on together: a few MB for each array over them
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 _MASK = (1 << 64) - 1
@@ -39,6 +40,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 _CODES = _byte_codes()
 _tables: dict[str, np.ndarray] = {}
 
@@ -67,8 +74,16 @@ class Roll:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are used again, and what one batch needed would else stay with them."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its values; nulls count as empty."""
+    release()
     column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")

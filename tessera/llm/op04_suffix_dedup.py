@@ -39,8 +39,7 @@ from tessera.llm.shared import carry, stored
 LENGTH = 100
 DIGIT = 44
 HOT = 512
-_CHUNK = 1 << 19
-_HELD = 1 << 18  # anchors that a task holds before it deals them
+_HELD = 1 << 17  # anchors that a task holds before it deals them
 _PLACE = np.uint64(31)  # bits of a place in a chunk; the same for all chunks, so that equal windows choose alike
 
 
@@ -109,7 +108,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets = B.buffer(batch.column(1))
         ids = batch.column(0).to_numpy()
-        for lo, hi in B.chunks(offsets, _CHUNK):
+        for lo, hi in B.chunks(offsets):
             part, cuts = B.chunked(buf, offsets, lo, hi)
             text, first, second, begin, end = anchors(part, cuts)
             held.append((first, second, ids[lo:hi][text], begin - cuts[text], end - cuts[text]))
@@ -190,7 +189,7 @@ def _suffix_rows(hot):  # noqa: ANN001, ANN202
         for batch in batches:
             buf, offsets = B.buffer(batch.column(1))
             ids, lists = batch.column(0).to_numpy(), batch.column(2)
-            for lo, hi in B.chunks(offsets, _CHUNK):
+            for lo, hi in B.chunks(offsets):
                 part, cuts = B.chunked(buf, offsets, lo, hi)
                 held = lists.slice(lo, hi - lo)
                 spans, of = held.flatten(), np.repeat(np.arange(hi - lo), np.diff(held.offsets.to_numpy()))

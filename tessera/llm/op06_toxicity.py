@@ -216,7 +216,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, keep:
         table = np.full(1 << LOG2_BUCKETS, -1, np.int16)
         table[machine.buckets] = np.arange(len(machine.buckets))
         wanted = table >= 0
-        wanted |= wanted[_again(np.arange(1 << LOG2_BUCKETS))]
+        for lo in range(0, 1 << LOG2_BUCKETS, 1 << 18):
+            wanted[lo : lo + (1 << 18)] |= table[_again(np.arange(lo, lo + (1 << 18)))] >= 0
         for batch in batches:
             buf, offsets = B.buffer(batch.column(batch.num_columns - 1))
             out = [np.zeros(0)]
