@@ -5,14 +5,14 @@ than ASCII white space, ASCII letters lowered, followed by one end token.  Words
 
 * Counts.  Every training token is counted, aggregated in each task before the shuffle; the table of counts grows with
   the corpus and stays distributed.
-* Symbols.  The model emits a symbol: one of the commonest words (at most `MAX_OWN`), the end, or one of `BUCKETS` hash
+* Symbols.  The model emits a symbol: one of the commonest words (about `MAX_OWN` at most), the end, or one of `BUCKETS` hash
   buckets of all other words.  A word of a bucket then follows with its smoothed share of the bucket's tokens, so the
   model is a proper distribution over words of any vocabulary.
 * States.  Baum-Welch: each pass runs scaled forward-backward recursions over all training tokens, each text whole from
   its first token to its end, sums expected counts by symbol within a task, then across partitions; a bounded table
   (symbols by states) comes back to the driver for the next pass.
 * Scores.  The scaled forward recursion gives the exact likelihood of every whole text.  Counts of the commonest words
-  (at most `MAX_KNOWN`) are broadcast; the other words of each text are joined with the table of counts.
+  (about `MAX_KNOWN` at most) are broadcast; the other words of each text are joined with the table of counts.
 
 Defined cases: null and empty texts are one end token; a null doc_id is not held out; rows that repeat a doc_id are
 texts of their own; without training rows every count is 0 and the states are as at the start; extra columns are
@@ -26,7 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as B
@@ -85,27 +85,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _level(histogram: list, most: int) -> int:
-    """Least level (an eighth of a doubling of the count) above which at most `most` words lie."""
-    total, level = 0, max([0, *(r["level"] for r in histogram)]) + 1
+def _commonest(histogram: list, most: int) -> Column:
+    """Which words (key, level) are about the `most` commonest: all of the upper levels, and of the level at the border a share by hash."""
+    total = 0
     for r in sorted(histogram, key=lambda r: -r["level"]):
+        if total + r["n"] > most:
+            border = (F.col("level") == r["level"]) & (F.pmod(F.shiftright("key", 30), F.lit(1 << 20)) < int((most - total) / r["n"] * (1 << 20)))
+            return (F.col("level") > r["level"]) | border
         total += r["n"]
-        if total > most:
-            break
-        level = r["level"]
-    return level
+    return F.lit(True)
 
 
 class Vocabulary:
     """Counts of the commonest words, the symbols of the model and the totals of the buckets; all of bounded size."""
 
-    def __init__(self, counts: DataFrame):
+    def __init__(self, counts: DataFrame, most_known: int = MAX_KNOWN, most_own: int = MAX_OWN):
         level = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
         leveled = counts.withColumn("level", level)
         histogram = leveled.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()
         self.n_tokens, self.n_types = sum(r["c"] for r in histogram), sum(r["n"] for r in histogram)
-        known, own = _level(histogram, MAX_KNOWN), _level(histogram, MAX_OWN)
-        table = leveled.where((F.col("level") >= known) & (F.col("key") != int(_END))).select("key", "c", (F.col("level") >= own).alias("own")).toArrow()
+        known, own = _commonest(histogram, most_known), _commonest(histogram, most_own)
+        table = leveled.where((known | own) & (F.col("key") != int(_END))).select("key", "c", own.alias("own")).toArrow()
         keys, order = np.unique(table["key"].to_numpy(), return_index=True)
         self.keys, self.counts = keys, table["c"].to_numpy()[order]
         own_flag = table["own"].to_numpy(zero_copy_only=False).astype(bool)[order]
@@ -114,7 +114,7 @@ class Vocabulary:
         self.end = self.n_own + BUCKETS
         self.size = self.end + 1
         bucket = F.col("key").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
-        rest = leveled.where((F.col("level") < own) & (F.col("key") != int(_END))).groupBy(bucket.alias("b")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
+        rest = leveled.where(~own & (F.col("key") != int(_END))).groupBy(bucket.alias("b")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
         total, types = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for r in rest:
             total[r["b"]], types[r["b"]] = r["c"], r["v"]

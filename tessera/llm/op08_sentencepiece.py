@@ -2,7 +2,9 @@
 
 The machine is the composition of three parts, compiled once from a public model file:
 
-* the normaliser: one dummy prefix, then every space becomes the word mark (the identity on all other characters);
+* the normaliser, as the model's own specification says: perhaps white space at the ends dropped and runs of spaces
+  made one, perhaps one space put in front, then every space the word mark.  It is the identity on all other characters; a
+  model that maps characters is refused;
 * the piece lexicon: one arc for each piece, weighted by the negated score.  For a merge model the lexicon is composed
   with an acceptor of canonical neighbours: a pair of pieces that merging could not leave side by side has infinite
   weight.  For a unigram model that acceptor accepts every pair at no cost;
@@ -24,25 +26,76 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import bytesx as B
 from tessera.llm.shared import carry
 
 MARK = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 400_000
+CACHE = 200_000
 #: Letters of one alphabet: segments also end at its borders if no piece holds such a letter beside a character of another kind.
 _LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u1e00-\u1eff"
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a protocol buffer message (varints and byte strings; others are passed over)."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 0x7F) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 0x80:
+                return value, at
+
+    at = 0
+    while at < len(raw):
+        head, at = varint(at)
+        if head & 7 == 0:
+            value, at = varint(at)
+            yield head >> 3, value
+        elif head & 7 == 2:
+            size, at = varint(at)
+            yield head >> 3, raw[at : at + size]
+            at += size
+        else:
+            at += 8 if head & 7 == 1 else 4
+
+
+class Normaliser(NamedTuple):
+    """What the model's normaliser does; the defaults are those of the format."""
+
+    prefix: bool = True
+    squeeze: bool = True
+    escape: bool = True
+
+    @classmethod
+    def compiled(cls, model: bytes) -> Normaliser:
+        """From a model: its specification is field 3; of that 2 maps characters, 3 to 5 are the flags."""
+        found = dict(_fields(next((value for number, value in _fields(model) if number == 3), b"")))
+        if found.get(2):
+            raise ValueError("the model's normaliser maps characters; only models that leave them as they are can be compiled")
+        return cls(*(bool(found.get(number, 1)) for number in (3, 4, 5)))
+
+    def __call__(self, text: str) -> str:
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        if self.prefix and text:
+            text = " " + text
+        return text.replace(" ", MARK) if self.escape else text
+
+
 class Transducer:
     """Normaliser, lexicon and byte fallback, compiled from (piece, score, is_byte, is_text) rows."""
 
-    def __init__(self, pieces: list[str], scores: list[float], is_byte: list[bool], is_text: list[bool], merges: bool = True):
+    def __init__(self, pieces: list[str], scores: list[float], is_byte: list[bool], is_text: list[bool], merges: bool = True, normaliser: Normaliser = Normaliser(squeeze=False)):  # noqa: B008
+        self.normaliser = normaliser
         self.pieces, self.scores, self.merges = pieces, scores, merges
         self.ids = {p: i for i, p in enumerate(pieces) if is_text[i] and not is_byte[i]}
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(pieces) if is_byte[i]}
@@ -68,7 +121,8 @@ class Transducer:
         scores = [sp.get_score(i) for i in n]
         text = [not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in n]
         steps = [a - b for a, b in zip(scores, scores[1:], strict=False) if a > b]
-        return cls([sp.id_to_piece(i) for i in n], scores, [sp.is_byte(i) for i in n], text, merges=bool(steps) and all(float(s).is_integer() for s in steps))
+        normaliser = Normaliser.compiled(sp.serialized_model_proto())
+        return cls([sp.id_to_piece(i) for i in n], scores, [sp.is_byte(i) for i in n], text, merges=bool(steps) and all(float(s).is_integer() for s in steps), normaliser=normaliser)
 
     # -- canonical neighbours of a merge model
 
@@ -105,7 +159,7 @@ class Transducer:
                     break
             if not fits:
                 break
-        if len(self.allowed) > 1_000_000:
+        if len(self.allowed) > 2 * CACHE:
             self.allowed.clear()
         self.allowed[key] = fits
         return fits
@@ -196,13 +250,13 @@ class Transducer:
         if not text:
             return np.zeros(0, np.int32)
         known, packed = self.cache.get, self.packed
-        return np.frombuffer(b"".join([known(x) or packed(x) for x in self.split.findall(MARK + text.replace(" ", MARK))]), np.int32)
+        return np.frombuffer(b"".join([known(x) or packed(x) for x in self.split.findall(self.normaliser(text))]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):
             return ""
         whole = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return whole.removeprefix(" ")
+        return whole.removeprefix(" ") if self.normaliser.prefix else whole
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}, "older": {}, "allowed": {}, "edges": {}}
@@ -223,6 +277,7 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE, keep: list[str] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = machine.value
         for batch in batches:
+            B.release()
             size = max(1, min(512, batch.num_rows))
             for lo in range(0, batch.num_rows, size):
                 part = batch.slice(lo, size)

@@ -1,6 +1,7 @@
 """Operators across documents: near-duplicates, repeats, revisits, leaks, licences, and the pipeline."""
 
 import hashlib
+import math
 import random
 import textwrap
 from collections import Counter
@@ -74,6 +75,20 @@ def similarities(pairs):
     return op03_near_duplicates.similarities(pair, key, side, len(pairs))
 
 
+def test_recall_by_similarity(spark):
+    """Pairs of texts alike from 0.5 to 1: all at 0.8 or more share a class, none below."""
+    texts, bands = [], Counter()
+    for i in range(700):
+        base = prose(20_000 + i, 160, 4000)
+        texts += [base, changed(base, i, 1 + i % 14)]
+    found = {r.doc_id: r.class_id for r in op03_near_duplicates.classes(docs(spark, texts)).collect()}
+    for k in range(0, len(texts), 2):
+        alike = jaccard(bag(texts[k]), bag(texts[k + 1]))
+        bands[math.floor(alike * 20) / 20] += 1
+        assert (found[k] == found[k + 1]) == (alike >= 0.8)
+    assert all(bands[b] >= 30 for b in (0.65, 0.7, 0.8, 0.85, 0.9))
+
+
 def test_proposals_lose_no_pair(spark):
     pick, bags = random.Random(1), []
     for _ in range(40):

@@ -144,6 +144,15 @@ def test_scores_sum_to_one_over_words(spark):
     assert v.n_tokens == 12 * 201
 
 
+def test_the_alphabet_is_filled_up_at_the_border(spark):
+    counts = spark.range(30_000).select(F.xxhash64("id").alias("key"), F.when(F.col("id") < 500, 50).otherwise(2).cast("long").alias("c"))
+    for most in (400, 5_000, 29_000):
+        v = op01_hmm.Vocabulary(counts, most_known=most, most_own=most // 2)
+        assert 0.85 * most < len(v.keys) < 1.15 * most and 0.8 * most < 2 * v.n_own < 1.2 * most
+        assert v.unigram.sum() == pytest.approx(1) and v.n_types == 30_000
+    assert op01_hmm.Vocabulary(counts).n_own == pytest.approx(op01_hmm.MAX_OWN, rel=0.05)
+
+
 def test_hmm_edges(spark):
     found = op01_hmm.score(awkward(spark)).collect()
     assert len(found) == len(AWKWARD) + 3 and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in found)
@@ -312,6 +321,29 @@ def test_ids_equal_the_public_library(machine):
             assert machine.decode(machine.encode(text)) == text
 
 
+def test_ids_of_whole_texts_equal_the_public_library(spark, machine):
+    import random
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=op08_sentencepiece.MODEL_FILE)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    random.seed(6)
+    planes = [(32, 127), (160, 880), (0x400, 0x600), (0x4E00, 0x9000), (0x1F300, 0x1FAFF), (1, 32)]
+    texts += ["".join(chr(random.randint(*random.choice(planes))) for _ in range(random.randint(1, 60))) for _ in range(1500)]
+    assert [machine.encode(t).tolist() for t in texts] == library.encode(texts)
+
+
+def test_the_normaliser_is_the_models(machine):
+    assert machine.normaliser == op08_sentencepiece.Normaliser(prefix=True, squeeze=False, escape=True)
+    read = lambda spec: op08_sentencepiece.Normaliser.compiled(b"\x1a" + bytes([len(spec)]) + spec)
+    assert read(b"") == op08_sentencepiece.Normaliser(True, True, True)
+    assert read(b"\x0a\x02ab\x18\x00\x20\x01\x28\x00") == op08_sentencepiece.Normaliser(False, True, False)
+    with pytest.raises(ValueError):
+        read(b"\x12\x03abc")
+    assert op08_sentencepiece.Normaliser()("  a  b ") == "▁a▁b" and op08_sentencepiece.Normaliser(False, False)(" a") == "▁a"
+
+
 def test_unigram_weights_take_the_least_path():
     t = op08_sentencepiece.Transducer(["a", "b", "ab", "ba", "aba"], [-1.0, -1.0, -1.5, -1.2, -9.0], [False] * 5, [True] * 5, merges=False)
     assert [t.pieces[i] for i in t._shortest("aba")] == ["a", "ba"]
