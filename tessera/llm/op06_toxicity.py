@@ -114,10 +114,11 @@ def screen(toxic: np.ndarray, doc: np.ndarray, bucket: np.ndarray, most: int = M
     table = np.full(1 << LOG2_BUCKETS, -1, np.int16)
     table[at[often]] = np.arange(len(often))
     known = table[bucket] >= 0
+    row = np.empty(len(toxic), np.int64)
+    row[np.argsort(~toxic, kind="stable")] = np.arange(len(toxic))
     x = np.zeros((len(toxic), len(often)), np.float32)
-    x[doc[known], table[bucket[known]]] = 1
-    x1, x0 = x[toxic], x[~toxic]
-    del x
+    x[row[doc[known]], table[bucket[known]]] = 1
+    x1, x0 = x[:n1], x[n1:]
     a, b, single = a[often], b[often], ratio[often]
     firsts, seconds, gains = [], [], []
     for lo in range(0, len(often), 256):
