@@ -38,7 +38,8 @@ from tessera.llm.shared import carry
 
 MARK = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 200_000
+CACHE = 400_000
+STEM = 6
 #: Letters of one alphabet: segments also end at its borders if no piece holds such a letter beside a character of another kind.
 _LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u1e00-\u1eff"
 
@@ -106,7 +107,8 @@ class Transducer:
         self.split = re.compile(r"(?s).+" if inner else r"▁*[^▁]+|▁+" if mixed else rf"▁*[{_LATIN}]+|▁*[^{_LATIN}▁]+|▁+")
         self.edges: dict[tuple[int, int], list[tuple[str, float]]] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.allowed: dict[tuple[int, int], bool] = {}
+        self.allowed: dict[int, bool] = {}
+        self.stems: dict[str, tuple[tuple[int, ...], ...]] = {}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         if merges:
@@ -145,7 +147,7 @@ class Transducer:
 
     def canonical(self, left: int, right: int) -> bool:
         """Whether merging leaves this pair: no two pieces that meet at the border on the way join before they are used up."""
-        key = (left, right)
+        key = left << 24 | right
         known = self.allowed.get(key)
         if known is not None:
             return known
@@ -201,38 +203,69 @@ class Transducer:
         return self._shortest(segment)
 
     def _shortest(self, s: str) -> list[int]:
-        n, ids, tails, merges = len(s), self.ids, self.tails, self.merges
-        best: list[tuple[float, int, int]] = [(math.inf, -1, 0)] * (n + 1)  # weight, last id (-1: start or bytes), start of the last arc
-        best[0] = (0.0, -1, 0)
-        scores = self.scores
-        for end in range(1, n + 1):
-            weight, last, begin = math.inf, -1, end - 1
-            for start in range(end - 1, -1, -1):
-                piece = tails.get(s[start:end])
-                if piece is None:
-                    break
-                if piece < 0:
-                    continue
-                before, prior, _ = best[start]
-                if before == math.inf or merges and prior >= 0 and not self.canonical(prior, piece):
-                    continue
-                total = before - scores[piece]
-                if total < weight or last < 0:
-                    weight, last, begin = total, piece, start
-                    if merges:
-                        break
-            if last < 0 and s[end - 1] not in ids and best[end - 1][0] < math.inf:
-                weight = best[end - 1][0] + 1e6
-            best[end] = (weight, last, begin)
+        best = self._only(s) if self.merges else self._least(s)
         out: list[int] = []
-        end = n
+        end = len(s)
         while end:
-            _, last, begin = best[end]
+            last, begin = best[end]
             out += [last] if last >= 0 else [self.byte_ids[b] for b in reversed(s[begin:end].encode())]
             end = begin
         out.reverse()
         return out
 
+    def _least(self, s: str) -> list[tuple[int, int]]:
+        """For each end the last arc of the path of least weight to it: piece (-1: bytes) and start."""
+        ids, tails, scores = self.ids, self.tails, self.scores
+        weights, arcs = [0.0] + [math.inf] * len(s), [(-1, 0)] * (len(s) + 1)
+        for end in range(1, len(s) + 1):
+            for start in range(end - 1, -1, -1):
+                piece = tails.get(s[start:end])
+                if piece is None:
+                    break
+                if piece >= 0 and weights[start] - scores[piece] < weights[end]:
+                    weights[end], arcs[end] = weights[start] - scores[piece], (piece, start)
+            if weights[end] == math.inf and s[end - 1] not in ids:
+                weights[end], arcs[end] = weights[end - 1] + 1e6, (-1, end - 1)
+        return arcs
+
+    def _only(self, s: str) -> list[tuple[int, int]]:
+        """The same for a merge model, in which all paths but one have a pair of neighbours of infinite weight: no weights to add."""
+        ids, tails, allowed, canonical = self.ids, self.tails.get, self.allowed.get, self.canonical
+        lasts, begins = [-1], [0]  # -1: start or bytes, -2: no path
+        if len(s) > STEM:  # arcs up to a place depend on what is before it only, and many segments begin alike
+            stem = s[:STEM]
+            arcs = self.stems.get(stem)
+            if arcs is None:
+                arcs = tuple(zip(*self._only(stem), strict=True))
+                if len(self.stems) >= CACHE // 4:
+                    self.stems.clear()
+                self.stems[stem] = arcs
+            lasts, begins = map(list, arcs)
+        for end in range(len(lasts), len(s) + 1):
+            last, begin, start = -2, end - 1, end
+            while start:
+                start -= 1
+                piece = tails(s[start:end])
+                if piece is None:
+                    break
+                if piece < 0:
+                    continue
+                prior = lasts[start]
+                if prior < 0:
+                    fits = prior == -1
+                else:
+                    fits = allowed(prior << 24 | piece)
+                    if fits is None:
+                        fits = canonical(prior, piece)
+                if fits:
+                    last, begin = piece, start
+                    break
+            if last == -2 and lasts[end - 1] != -2 and s[end - 1] not in ids:
+                last = -1
+            lasts.append(last)
+            begins.append(begin)
+        return list(zip(lasts, begins, strict=True))
+
     def packed(self, segment: str) -> bytes:
         """The path as packed 32-bit ids, from a cache of two bounded generations."""
         found = self.cache.get(segment)
@@ -259,7 +292,7 @@ class Transducer:
         return whole.removeprefix(" ") if self.normaliser.prefix else whole
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "older": {}, "allowed": {}, "edges": {}}
+        return self.__dict__ | {"cache": {}, "older": {}, "stems": {}, "allowed": {}, "edges": {}}
 
 
 def encode(docs: DataFrame, model_file: str = MODEL_FILE, keep: list[str] | None = None) -> DataFrame:
