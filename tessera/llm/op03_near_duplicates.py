@@ -12,7 +12,7 @@ pairs (at most one for each node and band) are verified with whole shingle vecto
 other members lie in several components of these links.  All pairs of undecided members in different components are
 then decided by exact filters: shingles are ordered by the pairs that they would propose, and two texts at `least` share
 one among the first of both; and the parity sketches of two such texts differ in few bits.  Both are bounds, so no pair at
-`least` is lost, and what passes both is nearly always alike.  Verified links become classes by distributed connected
+`least` is lost; of the pairs that pass both, about a third were alike on test tables.  Verified links become classes by distributed connected
 components.
 
 Defined cases: texts without words (null, empty) are classes of their own; the class id is the least doc_id of a
