@@ -38,7 +38,7 @@ from tessera.llm.shared import carry
 
 MARK = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 400_000
+CACHE = 128_000
 STEM = 6
 #: Letters of one alphabet: segments also end at its borders if no piece holds such a letter beside a character of another kind.
 _LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u1e00-\u1eff"
