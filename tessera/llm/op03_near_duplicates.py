@@ -9,11 +9,12 @@ little more than one arrival a shingle.  Two places of two texts agree with the
 Plan.  Texts of equal words are one node from the start.  Signatures are cut into bands; nodes that share a band meet
 in a bucket.  A bucket is never expanded into pairs: each member is compared with the bucket's least node, and the
 pairs (at most one for each node and band) are verified with whole shingle vectors.  A bucket is undecided while its
-other members lie in several components of these links.  All pairs of undecided members in different components are
-then decided by exact filters: shingles are ordered by the pairs that they would propose, and two texts at `least` share
+members that were no hub lie in several components of these links.  Undecided buckets get another hub, a member of their largest
+component, which is compared with the members of the others, as long as a round links many: so the texts of a large
+family of near copies need not all be compared to become one component.  All pairs of members in different components that are undecided
+then are decided by exact filters: shingles are ordered by the pairs that they would propose, and two texts at `least` share
 one among the first of both; and the parity sketches of two such texts differ in few bits.  Both are bounds, so no pair at
-`least` is lost; of the pairs that pass both, about a third were alike on test tables.  Verified links become classes by distributed connected
-components.
+`least` is lost.  Verified links become classes by distributed connected components.
 
 Defined cases: texts without words (null, empty) are classes of their own; the class id is the least doc_id of a
 class; rows with a null doc_id take part and are never the class id unless all are null; rows that repeat a doc_id
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bytesx as B
@@ -40,6 +41,7 @@ BANDS = 25
 ROWS = 5
 SLOTS = BANDS * ROWS
 PARITY = 16  # longs of a parity sketch
+GOES_ON = 10  # another hub for each undecided bucket, as long as a round gives a link for every so many undecided nodes
 SALTS = 16  # sides repeated for each salt are merge-joined: their size before that says little
 
 
@@ -204,6 +206,7 @@ def _parity(text: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
 
 
 _PARITIES = [f"o{i}" for i in range(PARITY)]
+_PARITY_ROWS = "node long, total long, " + ", ".join(f"{x} long" for x in _PARITIES)
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +224,32 @@ def _parity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, values = batch.column(1).offsets.to_numpy().astype(np.int64), batch.column(1).values.to_numpy()
         for lo, hi in B.chunks(offsets):
-            text, key, _ = _weighted(np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])), values[offsets[lo] : offsets[hi]])
+            size = np.diff(offsets[lo : hi + 1])
+            text, key, _ = _weighted(np.repeat(np.arange(hi - lo), size), values[offsets[lo] : offsets[hi]])
             table = _parity(text, key, hi - lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], names=["node", *_PARITIES])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], names=["node", "total", *_PARITIES])
+
+
+def _near(least: float) -> Column:
+    """Whether total and parity sketch of two bags (the other's columns begin with y_) let them be alike; see `_proposed`."""
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"y_{x}"))) for x in _PARITIES[1:]), F.bit_count(F.col("o0").bitwiseXOR(F.col("y_o0"))))
+    return differ <= (1 - least) / (1 + least) * 2 * F.greatest("total", "y_total") + 1e-6
+
+
+def _undecided(inside: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (bucket, node) of buckets whose nodes lie in several components (found: node, label), with the label."""
+    placed = inside.join(found, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    several = placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where(F.col("l") != F.col("m")).select("bucket")
+    return stored(placed.join(several, "bucket", "left_semi"), "near-open")[0]
+
+
+def _dealt(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For every bucket a hub in its largest component: its pairs (a, b) with the members of the others, and (bucket, node) without hubs."""
+    parts = undecided.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("bucket", "node").alias("place"), "node")).alias("first"))
+    hubs = parts.groupBy("bucket").agg(F.max(F.struct("m", "first.place", "label", "first.node")).alias("best")).select("bucket", F.col("best.label").alias("own"), F.col("best.node").alias("hub"))
+    held = undecided.join(hubs, "bucket")
+    pairs = held.where(F.col("label") != F.col("own")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return pairs, held.where(F.col("node") != F.col("hub")).select("bucket", "node")
 
 
 def _proposed(known: DataFrame, placed: DataFrame, least: float) -> DataFrame:
@@ -249,19 +275,25 @@ def _proposed(known: DataFrame, placed: DataFrame, least: float) -> DataFrame:
     node = Window.partitionBy("node")
     before = F.sum("n").over(node.orderBy("cost", "key")) - F.col("n") + F.col("total") - F.sum("n").over(node)
     prefixes = keyed.join(common, "key").withColumn("p", before / F.col("total")).where(F.col("p") <= 1 - least + 1e-6).select("node", "label", "total", "key", "p")
-    prefixes, _ = stored(prefixes.join(known.mapInArrow(_parity_rows, "node long, " + ", ".join(f"{x} long" for x in _PARITIES)), "node"), "near-prefixes")
+    prefixes, _ = stored(prefixes.join(known.mapInArrow(_parity_rows, _PARITY_ROWS).drop("total"), "node"), "near-prefixes")
 
     sides = prefixes.groupBy("key", "label").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("m"))
     others = sides.select("key", F.col("label").alias("other"), F.col("p").alias("q"), F.col("m").alias("k"))
     met = sides.join(others, "key").where(may("p", "q") & (F.struct("m", "label") < F.struct("k", "other"))).select("key", "label", "other")
     reach = prefixes.join(met, ["key", "label"]).drop("label")
     there = prefixes.select("key", F.col("label").alias("other"), F.col("node").alias("y"), F.col("total").alias("y_total"), F.col("p").alias("q"), *[F.col(x).alias(f"y_{x}") for x in _PARITIES])
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"y_{x}"))) for x in _PARITIES[1:]), F.bit_count(F.col("o0").bitwiseXOR(F.col("y_o0"))))
-    near = differ <= (1 - least) / (1 + least) * 2 * F.greatest("total", "y_total") + 1e-6
-    both = reach.join(there, ["key", "other"]).where(may("p", "q") & near)
+    both = reach.join(there, ["key", "other"]).where(may("p", "q") & _near(least))
     return both.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
 
 
+def _linked(pairs: DataFrame, known: DataFrame, found: DataFrame, least: float) -> tuple[DataFrame, DataFrame, int]:
+    """Components (node, label) after the links among pairs, the pairs compared, and the number of links."""
+    compared = _verify(pairs, known, least, "near-2")
+    fresh = compared.where("linked").select("a", "b")
+    n = fresh.count()
+    return labels(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(fresh)) if n else found, compared.select("a", "b"), n
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id for every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -284,18 +316,24 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     links = _verify(pairs, _vectors(paired, nodes, rows, "near-1"), least, "near-1")
     found = labels(links.where("linked").select("a", "b"))
 
-    # A bucket whose members but its hub are in one component is decided; the members of the others are all compared.
-    inside = met.where(F.col("a") != F.col("b")).select("bucket", F.col("b").alias("node"))
-    doubtful = (
-        inside.join(found, "node", "left").groupBy("bucket").agg(F.min(F.coalesce("label", "node")).alias("l"), F.max(F.coalesce("label", "node")).alias("m"))
-        .where(F.col("l") != F.col("m")).select("bucket")
-    )
-    open_nodes, _ = stored(inside.join(doubtful, "bucket", "left_semi").select("node").distinct(), "near-open")
-    if not open_nodes.isEmpty():
-        known = _vectors(open_nodes, nodes, rows, "near-2")
-        more, _ = stored(_proposed(known, found, least).join(links.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
-        fresh = _verify(more, known, least, "near-2")
-        found = labels(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(fresh.where("linked").select("a", "b")))
+    # A bucket whose members but its hubs are in one component is decided; what more hubs leave undecided is all compared.
+    undecided = _undecided(met.where(F.col("a") != F.col("b")).select("bucket", F.col("b").alias("node")), found)
+    if not undecided.isEmpty():
+        known = _vectors(undecided.select("node").distinct(), nodes, rows, "near-2")
+        parities, _ = stored(known.mapInArrow(_parity_rows, _PARITY_ROWS), "near-parities")
+        ours, theirs = parities.withColumnRenamed("node", "a"), parities.select(F.col("node").alias("b"), *[F.col(x).alias(f"y_{x}") for x in ("total", *_PARITIES)])
+        compared, goes_on = links.select("a", "b"), True
+        while goes_on:
+            many = undecided.select("node").distinct().count()
+            dealt, inside = _dealt(undecided)
+            more, _ = stored(dealt.join(compared, ["a", "b"], "left_anti").join(ours, "a").join(theirs, "b").where(_near(least)).select("a", "b"), "near-pairs")
+            found, fresh, n = _linked(more, known, found, least)
+            compared = compared.unionByName(fresh)
+            undecided = _undecided(inside, found)
+            goes_on = GOES_ON * n >= many and not undecided.isEmpty()
+        known = known.join(undecided.select("node").distinct(), "node", "left_semi")
+        more, _ = stored(_proposed(known, found, least).join(compared, ["a", "b"], "left_anti"), "near-pairs")
+        found, _, _ = _linked(more, known, found, least)
 
     firsts = nodes.groupBy("node").agg(F.min("first_id").alias("first_id"))
     placed = found.join(firsts, "node").withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int"))

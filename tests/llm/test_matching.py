@@ -68,6 +68,21 @@ def test_a_family_that_shares_a_template(spark):
     assert found == {k: k // 2 * 2 for k in range(1200)}
 
 
+def test_pairs_of_a_family_of_near_copies_grow_in_proportion(spark, monkeypatch):
+    """A third of the copies are alike with few others only; the family is one class without comparing all of them."""
+    seen, verify = [], op03_near_duplicates._verify
+
+    def counted(pairs, known, least, name):
+        seen.append((name, pairs.count()))
+        return verify(pairs, known, least, name)
+
+    monkeypatch.setattr(op03_near_duplicates, "_verify", counted)
+    base = prose(70_000, 160, 4000)
+    found = op03_near_duplicates.classes(docs(spark, [changed(base, i, 1 + i % 3) for i in range(400)])).collect()
+    assert len(found) == 400 and {r.class_id for r in found} == {0}
+    assert 0 < sum(n for name, n in seen if name == "near-2") < 400  # all pairs in different components that may be alike: 2,967
+
+
 def similarities(pairs):
     """Similarities of pairs of counters with whole numbers as keys."""
     sides = [(i, k, side) for i, pair in enumerate(pairs) for side, bag in enumerate(pair) for k in bag.elements()]
