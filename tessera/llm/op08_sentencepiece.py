@@ -100,7 +100,11 @@ class Transducer:
         self.pieces, self.scores, self.merges = pieces, scores, merges
         self.ids = {p: i for i, p in enumerate(pieces) if is_text[i] and not is_byte[i]}
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(pieces) if is_byte[i]}
-        self.tails: dict[str, int] = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
+        #: A merge model whose pieces consist of characters that are pieces: its only path is found from the left, by the heads of pieces.
+        self.forward = merges and all(c in self.ids for p in self.ids for c in p)
+        self.heads: dict[str, int] = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids if self.forward else {}
+        self.tails: dict[str, int] = {} if self.forward else {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
+        self.lengths = list(map(len, pieces))
         self.surface = [bytes([int(p[3:5], 16)]) if is_byte[i] else p.replace(MARK, " ").encode() if is_text[i] else b"" for i, p in enumerate(pieces)]
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         mixed = any(re.search(f"[{_LATIN}][^{_LATIN}▁]|[^{_LATIN}▁][{_LATIN}]", p) for p in self.ids)
@@ -203,6 +207,8 @@ class Transducer:
         return self._shortest(segment)
 
     def _shortest(self, s: str) -> list[int]:
+        if self.forward:
+            return self._ahead(s)
         best = self._only(s) if self.merges else self._least(s)
         out: list[int] = []
         end = len(s)
@@ -266,6 +272,62 @@ class Transducer:
             begins.append(begin)
         return list(zip(lasts, begins, strict=True))
 
+    def _ahead(self, s: str) -> list[int]:
+        """Ids on the only path, depth first and the longest arc first.
+
+        The arcs before a place are the only ones that lead there, so a place from which no arc leads on is dead for all of the search.
+        """
+        heads, ids, lengths, allowed, canonical = self.heads.get, self.ids, self.lengths, self.allowed.get, self.canonical
+        path: list[int] = []  # piece, or -1: the bytes of a character
+        waits: list[list[int]] = []  # at the start of each arc of the path: the shorter arcs not yet tried
+        dead: set[int] = set()
+        at, prior, whole, n = 0, -1, True, len(s)
+        while at < n:
+            arcs: list[int] = []
+            end = at
+            while end < n:
+                end += 1
+                piece = heads(s[at:end])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    arcs.append(piece)
+            if not arcs and s[at] not in ids:
+                path.append(-1)
+                waits.append(arcs)
+                at, prior, whole = at + 1, -1, False
+                continue
+            while True:
+                fits = False
+                while arcs:
+                    piece = arcs.pop()
+                    if prior >= 0:
+                        fits = allowed(prior << 24 | piece)
+                        if fits is None:
+                            fits = canonical(prior, piece)
+                        if not fits:
+                            continue
+                    if not dead or at + lengths[piece] not in dead:
+                        fits = True
+                        break
+                    fits = False
+                if fits:
+                    path.append(piece)
+                    waits.append(arcs)
+                    at, prior = at + lengths[piece], piece
+                    break
+                dead.add(at)
+                at -= lengths[prior] if prior >= 0 else 1
+                path.pop()
+                arcs, prior = waits.pop(), path[-1] if path else -1
+        if whole:
+            return path
+        out, at = [], 0
+        for piece in path:
+            out += [piece] if piece >= 0 else [self.byte_ids[b] for b in s[at].encode()]
+            at += lengths[piece] if piece >= 0 else 1
+        return out
+
     def packed(self, segment: str) -> bytes:
         """The path as packed 32-bit ids, from a cache of two bounded generations."""
         found = self.cache.get(segment)

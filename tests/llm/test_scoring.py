@@ -344,6 +344,29 @@ def test_the_normaliser_is_the_models(machine):
     assert op08_sentencepiece.Normaliser()("  a  b ") == "▁a▁b" and op08_sentencepiece.Normaliser(False, False)(" a") == "▁a"
 
 
+def test_the_search_from_the_left_asks_for_fewer_neighbours():
+    """Neighbours of words of the table and of random strings, some with characters outside the lexicon: the same path, fewer pairs tried."""
+    looked = Counter()
+
+    class Counted(dict):
+        def get(self, key):
+            looked[self.name] += 1
+            return dict.get(self, key)
+
+    machine = op08_sentencepiece.Transducer.load(op08_sentencepiece.MODEL_FILE)
+    pick = np.random.default_rng(5)
+    words = sorted({"▁" + w for w in prose(3, 3000, 4000).split()}) + ["".join(pick.choice(list("aabtheingér日\U0001f9ff0._"), pick.integers(1, 30))) for _ in range(2000)]
+    machine.tails = {p[k:]: -1 for p in machine.ids for k in range(len(p))} | machine.ids
+    paths = {}
+    for name in ("left", "right"):
+        machine.forward = name == "left"
+        machine.stems.clear()
+        machine.allowed = Counted(machine.allowed)
+        machine.allowed.name = name
+        paths[name] = [machine._shortest(w) for w in words]
+    assert paths["left"] == paths["right"] and 0 < looked["left"] < 0.7 * looked["right"]
+
+
 def test_unigram_weights_take_the_least_path():
     t = op08_sentencepiece.Transducer(["a", "b", "ab", "ba", "aba"], [-1.0, -1.0, -1.5, -1.2, -9.0], [False] * 5, [True] * 5, merges=False)
     assert [t.pieces[i] for i in t._shortest("aba")] == ["a", "ba"]
